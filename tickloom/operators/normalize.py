@@ -112,17 +112,17 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     text = F.col("value").cast("string")
     document = T.StructType([*TICK_MESSAGE.fields, T.StructField("_corrupt", T.StringType())])
     rows = messages.withColumn("_doc", F.from_json(text, document, _JSON))
-    doc = F.col("_doc")
-    price = C.number_or(doc["price"])
-    reason = F.when(_unreadable(text, doc), F.lit("malformed_json")).when(
-        ~C.is_valid_price(price), F.lit("invalid_price")
+    malformed = _unreadable(text, F.col("_doc"))
+    rows = rows.withColumn("_bad", malformed).withColumn("_doc", F.when(~F.col("_bad"), F.col("_doc")))
+    doc, known = F.col("_doc"), ~F.col("_bad")
+    reason = F.when(F.col("_bad"), F.lit("malformed_json")).when(
+        ~C.is_valid_price(doc["price"]), F.lit("invalid_price")
     )
     return rows.select(
         "seq",
         F.coalesce(F.col("key").cast("string"), F.lit(UNKNOWN)).alias("ticker"),
-        price.alias("price"),
-        *[C.number_or(doc[name]).alias(name) for name in ("open", "high", "low")],
-        F.coalesce(doc["volume"].try_cast("bigint"), F.lit(0).cast("long")).alias("volume"),
+        *[F.when(known, C.number_or(doc[name])).alias(name) for name in ("price", "open", "high", "low")],
+        F.when(known, F.coalesce(doc["volume"].try_cast("bigint"), F.lit(0).cast("long"))).alias("volume"),
         F.coalesce(C.iso_timestamp(doc["timestamp"]), F.col("ts")).alias("ts"),
         F.coalesce(doc["source"], F.lit(UNKNOWN)).alias("source"),
         doc["indicators"].alias("indicators"),
@@ -132,9 +132,12 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def to_messages(ticks: DataFrame) -> DataFrame:
-    """Topic rows ``(key, value)``: the ticker, and the tick as JSON with its time as text."""
+def to_messages(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Topic rows ``(key, value)``: the ticker, and the tick as JSON with its time as text.
+
+    ``keep`` names columns to carry beside them, for topics that number no offsets themselves.
+    """
     extra = [name for name in ("indicators", "indicators_ready") if name in ticks.columns]
     names = ("ticker", "price", "open", "high", "low", "volume")
     value = F.struct(*names, C.iso_text(F.col("ts")).alias("timestamp"), "source", *extra)
-    return ticks.select(F.col("ticker").alias("key"), F.to_json(value).alias("value"))
+    return ticks.select(F.col("ticker").alias("key"), F.to_json(value).alias("value"), *keep)
