@@ -95,16 +95,17 @@ def advance(state: TickerState, prices: np.ndarray, spec: IndicatorSpec) -> dict
         gain, loss = np.maximum(change, 0.0), np.maximum(-change, 0.0)
         early = number < period
         if spec.rsi_seed == "wilder":
-            smoothed.seed_gain += gain[early].sum()
-            smoothed.seed_loss += loss[early].sum()
+            smoothed.seed_gain += float(gain[early].sum())
+            smoothed.seed_loss += float(loss[early].sum())
             gain[number == period] += smoothed.seed_gain
             loss[number == period] += smoothed.seed_loss
         gain[early], loss[early] = 0.0, 0.0
         avg_gain = pd.Series(np.concatenate([[smoothed.avg_gain], gain])).ewm(alpha=1 / period, adjust=False).mean()
         avg_loss = pd.Series(np.concatenate([[smoothed.avg_loss], loss])).ewm(alpha=1 / period, adjust=False).mean()
         avg_gain, avg_loss = avg_gain.to_numpy()[1:], avg_loss.to_numpy()[1:]
-        # An unchanged price scales both averages alike, so the index keeps its last value.
-        moved = (gain > 0) | (loss > 0)
+        # An unchanged price scales both averages alike, so the index keeps its last value. (With a
+        # period of one the averages have no memory, and an unchanged price gives 100.)
+        moved = (gain > 0) | (loss > 0) | (~early & (period == 1))
         values = pd.Series(np.where(moved, rsi_values(avg_gain, avg_loss), np.nan)).ffill().fillna(smoothed.value)
         smoothed.avg_gain, smoothed.avg_loss = float(avg_gain[-1]), float(avg_loss[-1])
         smoothed.value = float(values.iloc[-1])

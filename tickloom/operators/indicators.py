@@ -130,7 +130,9 @@ def _smoothed(df: DataFrame, by: list[str], order: list[str], period: int, seed:
         {f"_{name}_{period}": term / period for name, term in terms.items()}
         | {"_block": F.floor(at / size).cast("long"), "_in_block": (at % size).cast("int")}
     )
-    moved = (F.col(f"_gain_{period}") > 0) | (F.col(f"_loss_{period}") > 0)
+    # An unchanged price scales both averages alike and leaves the index as it was; a period of one
+    # has no memory to scale.
+    moved = (F.col(f"_gain_{period}") > 0) | (F.col(f"_loss_{period}") > 0) if period > 1 else at >= period
     df = df.withColumn("_moved", moved)
     if period > 1:
         decay = (period - 1) / period
