@@ -1,6 +1,6 @@
 """Moving average, relative strength index and VWAP over each ticker's ticks in order.
 
-All of a ticker's indicators share one shuffle and one sort. The RSI recurrence
+All of a ticker's indicators share one shuffle and two sorts. The RSI recurrence
 ``A[n] = q * A[n-1] + g[n] / p`` has no window function; it is summed in blocks short enough that
 the weights ``q ** -i`` stay in range, and the blocks before are added with their decay.
 
@@ -10,7 +10,9 @@ results are written once, and a small table with one row per piece says how to c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +26,14 @@ from ..schema import TICK_ORDER
 from ..session import scratch_path
 from .pieces import DEFAULT_SPLIT, HotSplit, divide, find_hot
 
-# A block of 18 periods keeps the weights below e**19; rows four blocks back weigh less than e**-54.
+# Rows before the last three blocks of 18 periods weigh less than e**-54 of the newest that moved.
 _PERIODS_PER_BLOCK = 18
 _BLOCKS_BACK = 3
+# Weights inside a block stay below e**600.
+_LARGEST_EXPONENT = 600.0
+# Moving averages up to this period are summed row by row when nothing else needs blocks.
+_SHORT_FRAME = 16
+_SMA_BLOCK = 256
 
 
 def with_indicators(
@@ -84,6 +91,38 @@ def _vwap(money: Column, volume: Column) -> list[Column]:
     ]
 
 
+@dataclass(frozen=True)
+class _Blocks:
+    """Periods summed in blocks of one size, so that they share a sort."""
+
+    size: int
+    rsi: tuple[int, ...]
+    sma: tuple[int, ...]
+
+
+def _plan_blocks(spec: IndicatorSpec) -> list[_Blocks]:
+    """As few block sizes as the weights allow; the largest also serves the moving averages."""
+    groups: list[_Blocks] = []
+    waiting = sorted({p for p in spec.rsi if p > 1}, reverse=True)
+    sma = tuple(spec.sma)
+    while waiting:
+        size = _PERIODS_PER_BLOCK * waiting[0]
+        if sma and size < max(sma) and max(sma) * _growth(waiting[0]) < _LARGEST_EXPONENT:
+            size = max(sma)
+        together = tuple(p for p in waiting if size * _growth(p) < _LARGEST_EXPONENT)
+        waiting = [p for p in waiting if p not in together]
+        served = sma if sma and size >= max(sma) else ()
+        sma = () if served else sma
+        groups.append(_Blocks(size, together, served))
+    if sma and max(sma) > _SHORT_FRAME:
+        groups.append(_Blocks(max(_SMA_BLOCK, *sma), (), sma))
+    return groups
+
+
+def _growth(period: int) -> float:
+    return math.log(period / (period - 1))
+
+
 def _local(ticks: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec) -> DataFrame:
     """Window columns of every group ``by``, each group taken as a whole ticker.
 
@@ -94,70 +133,103 @@ def _local(ticks: DataFrame, by: list[str], order: list[str], spec: IndicatorSpe
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     price = F.col("price")
 
-    columns: dict[str, Column] = {"_at": F.row_number().over(ordered).cast("long") - 1}
+    place = F.row_number().over(ordered).cast("long")
+    columns: dict[str, Column] = {"_at": place - 1, "_next": F.lead(price).over(ordered)}
     if spec.rsi:
         columns["_change"] = F.coalesce(price - F.lag(price).over(ordered), F.lit(0.0))
-    columns["_next"] = F.lead(price).over(ordered)
-    for p in spec.sma:
-        frame = ordered.rowsBetween(-(p - 1), Window.currentRow)
-        columns[f"_sma_{p}"] = F.when(F.count(price).over(frame) == p, F.avg(price).over(frame)).otherwise(0.0)
     if spec.vwap:
         high, low, volume = F.col("high"), F.col("low"), F.col("volume")
         counted = C.counts_for_vwap(price, high, low, volume)
         money = F.when(counted, C.typical_price(price, high, low) * volume).otherwise(0.0)
         columns["_money"] = F.sum(money).over(running)
         columns["_volume"] = F.sum(F.when(counted, volume.cast("double")).otherwise(0.0)).over(running)
+    groups = _plan_blocks(spec)
+    for p in set(spec.sma) - {p for group in groups for p in group.sma}:
+        mean = F.avg(price).over(ordered.rowsBetween(-(p - 1), Window.currentRow))
+        columns[f"_sma_{p}"] = F.when(place >= p, mean).otherwise(0.0)
     local = ticks.select("*", *[column.alias(name) for name, column in columns.items()])
-    for p in spec.rsi:
-        local = _smoothed(local, by, order, p, spec.rsi_seed)
+    local = _amounts(local, by, order, spec)
+    for group in groups:
+        local = _block_sums(local, by, group)
+    for p in set(spec.rsi) & {1}:
+        local = local.withColumn("_last_1", F.when(F.col("_at") >= 1, _state(1)))
     return local
 
 
-def _smoothed(df: DataFrame, by: list[str], order: list[str], period: int, seed: str) -> DataFrame:
-    """Append ``_gain_p``, ``_loss_p`` and ``_last_p``."""
-    ordered = Window.partitionBy(*by).orderBy(*order)
+def _amounts(df: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec) -> DataFrame:
+    """Append what each row adds to the averages of each RSI period, as ``_gain_p`` / ``_loss_p``."""
     at, change = F.col("_at"), F.col("_change")
-    names = {"gain": C.gain(change), "loss": C.loss(change)}
-    terms = {}
-    for name, amount in names.items():
-        if seed == "wilder":
-            first = F.sum(amount).over(ordered.rowsBetween(-(period - 1), Window.currentRow))
-            terms[name] = F.when(at == period, first).when(at > period, amount).otherwise(0.0)
-        else:
-            terms[name] = F.when(at >= period, amount).otherwise(0.0)
-    size = _PERIODS_PER_BLOCK * period
-    df = df.withColumns(
-        {f"_{name}_{period}": term / period for name, term in terms.items()}
-        | {"_block": F.floor(at / size).cast("long"), "_in_block": (at % size).cast("int")}
-    )
-    # An unchanged price scales both averages alike and leaves the index as it was; a period of one
-    # has no memory to scale.
-    moved = (F.col(f"_gain_{period}") > 0) | (F.col(f"_loss_{period}") > 0) if period > 1 else at >= period
-    df = df.withColumn("_moved", moved)
-    if period > 1:
-        decay = (period - 1) / period
-        inside = Window.partitionBy(*by, "_block").orderBy("_in_block")
-        inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        blocks = Window.partitionBy(*by).orderBy("_block")
-        lifted = {name: F.col(f"_{name}_{period}") * F.pow(F.lit(1 / decay), F.col("_in_block")) for name in names}
-        # Two steps, so that the sort of the first also serves the second.
-        df = df.withColumns({f"_inside_{name}": F.sum(column).over(inside) for name, column in lifted.items()})
-        averages = {}
-        for name, column in lifted.items():
-            total = F.col(f"_inside_{name}")
-            for back in range(1, _BLOCKS_BACK + 1):
-                before = F.sum(column).over(blocks.rangeBetween(-back, -back))
-                total = total + F.coalesce(before, F.lit(0.0)) * F.lit(decay ** (size * back))
-            averages[f"_{name}_{period}"] = total * F.pow(F.lit(decay), F.col("_in_block"))
-        df = df.withColumns(averages)
-    sofar = Window.partitionBy(*by).orderBy("_block", "_in_block")
-    sofar = sofar.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = F.struct(
+    running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = {}
+    for p in spec.rsi:
+        for name, amount in (("gain", C.gain(change)), ("loss", C.loss(change))):
+            if spec.rsi_seed == "wilder":
+                first = F.sum(F.when(at <= p, amount).otherwise(0.0)).over(running)
+                amount = F.when(at == p, first).otherwise(amount)
+            columns[f"_{name}_{p}"] = F.when(at >= p, amount / p).otherwise(0.0)
+    return df.withColumns(columns).drop("_change") if columns else df
+
+
+def _state(period: int) -> Column:
+    return F.struct(
         F.col(f"_gain_{period}").alias("avg_gain"), F.col(f"_loss_{period}").alias("avg_loss"), F.col("_at").alias("at")
     )
-    return df.withColumn(f"_last_{period}", F.last(F.when(F.col("_moved"), state), ignorenulls=True).over(sofar)).drop(
-        "_block", "_in_block", "_moved", "_inside_gain", "_inside_loss"
+
+
+def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
+    """Turn ``_gain_p`` / ``_loss_p`` into averages, and append ``_last_p`` and ``_sma_p``.
+
+    Sums start over with each block and the blocks before are added, so every row costs the same
+    whatever the periods, and no sum grows with the length of the ticker.
+    """
+    df = df.withColumns(
+        {"_block": F.floor(F.col("_at") / group.size).cast("long"), "_in_block": (F.col("_at") % group.size).cast("int")}
+    )
+    in_block = F.col("_in_block")
+    inside = Window.partitionBy(*by, "_block").orderBy("_in_block")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = Window.partitionBy(*by).orderBy("_block")
+    onward = Window.partitionBy(*by).orderBy("_block", "_in_block")
+    sofar = onward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = [(name, p) for p in group.rsi for name in ("gain", "loss")]
+
+    # What a row adds, lifted to the start of its block. The sums never fall, so a block's total is
+    # its largest.
+    df = df.withColumns(
+        {f"_moved_{p}": (F.col(f"_gain_{p}") > 0) | (F.col(f"_loss_{p}") > 0) for p in group.rsi}
     )
+    sums = {
+        f"_inside_{name}_{p}": F.sum(F.col(f"_{name}_{p}") * F.pow(F.lit(p / (p - 1)), in_block)).over(inside)
+        for name, p in pairs
+    }
+    if group.sma:
+        sums["_inside_price"] = F.sum("price").over(inside)
+    df = df.withColumns(sums)
+    averages = {}
+    for name, p in pairs:
+        decay = (p - 1) / p
+        total = F.col(f"_inside_{name}_{p}")
+        for back in range(1, _BLOCKS_BACK + 1):
+            before = F.max(f"_inside_{name}_{p}").over(blocks.rangeBetween(-back, -back))
+            total = total + F.coalesce(before, F.lit(0.0)) * F.lit(decay ** (group.size * back))
+        averages[f"_{name}_{p}"] = total * F.pow(F.lit(decay), in_block)
+    if group.sma:
+        averages["_before_price"] = F.max("_inside_price").over(blocks.rangeBetween(-1, -1))
+    df = df.withColumns(averages)
+    # An unchanged price scales both averages alike and leaves the index as it was.
+    ends = {
+        f"_last_{p}": F.last(F.when(F.col(f"_moved_{p}"), _state(p)), ignorenulls=True).over(sofar) for p in group.rsi
+    }
+    for p in group.sma:
+        # The sum since the block began, less what lies more than p rows back; if that is in the block
+        # before, with the rest of that block.
+        crossing = F.when(in_block < p, F.coalesce("_before_price", F.lit(0.0))).otherwise(0.0)
+        dropped = F.coalesce(F.lag("_inside_price", p).over(onward), F.lit(0.0))
+        mean = (F.col("_inside_price") + (crossing - dropped)) / p
+        ends[f"_sma_{p}"] = F.when(F.col("_at") >= p - 1, mean).otherwise(0.0)
+    spent = [f"_inside_{name}_{p}" for name, p in pairs]
+    spent += [f"_moved_{p}" for p in group.rsi] + ["_block", "_in_block", "_inside_price", "_before_price"]
+    return df.withColumns(ends).drop(*spent)
 
 
 def _corrected(pieces: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec, keep_pieces: bool) -> DataFrame:
