@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import os
 from datetime import timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import reshape
 from tickloom.operators.enrich import enrich
-from tickloom.operators.normalize import accepted, decode_messages
+from tickloom.operators.normalize import accepted, decode_messages, quotes_source_two
 from tickloom.operators.routing import subscription_lists
 from tickloom.operators.summary import summary_sink, ticker_summary
 from tickloom.plans.candles import candles
@@ -156,3 +157,19 @@ def test_summary_per_micro_batch(spark, make_ticks, tmp_path):
     stream = spark.readStream.schema(RAW_TICK).parquet(str(tmp_path / "in"))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert seen == ticker_summary(ticks).collect()
+
+
+def test_landed_quotes_in_batch_and_stream(spark, tmp_path):
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    body = json.dumps({"results": {"p": 10.5, "s": 3}, "status": "OK"})
+    lines = [{"seq": i, "ticker": "A", "body": body if i else "", "fetched_at": "2024-01-15T14:30:00Z"} for i in range(3)]
+    (folder / "a.json").write_text("\n".join(json.dumps(line) for line in lines))
+    batch = quotes_source_two(topics.read_quotes(spark, str(folder)))
+    live = quotes_source_two(topics.read_quotes(spark, str(folder), stream=True))
+    out = str(tmp_path / "out")
+    sinks.to_files(live, out, str(tmp_path / "state"), drain=True).awaitTermination()
+    rows = sorted(batch.collect(), key=lambda r: r["seq"])
+    assert rows == sorted(spark.read.schema(live.schema).parquet(out).collect(), key=lambda r: r["seq"])
+    assert [(r["price"], r["volume"], r["reject_reason"]) for r in rows][1:] == [(10.5, 3, None)] * 2
+    assert rows[0]["reject_reason"] == "malformed_json"

@@ -236,12 +236,20 @@ def _corrected(pieces: DataFrame, by: list[str], order: list[str], spec: Indicat
     spark = pieces.sparkSession
     grouped = [*by, "_piece"]
     whole = Window.partitionBy(*grouped)
+    head = spec.longest + 1
     local = _local(pieces, grouped, order, spec).withColumn("_left", F.count(F.lit(1)).over(whole) - 1 - F.col("_at"))
+    # The averages are read back at two rows of a piece only, the distance to its end near the end.
+    ends = (F.col("_at") == head - 1) | (F.col("_left") == 0)
+    averages = [f"_{name}_{p}" for p in spec.rsi for name in ("gain", "loss")]
+    local = local.withColumns({name: F.when(ends, F.col(name)) for name in averages}).withColumn(
+        "_left", F.when(F.col("_left") < head, F.col("_left"))
+    )
+    if not keep_pieces:
+        local = local.drop("_next")
     path = scratch_path(spark, "pieces")
     local.write.parquet(path)
     local = spark.read.schema(local.schema).parquet(path)
 
-    head = spec.longest + 1
     entry = _entries(local, grouped, by, spec, head)
     # One row per piece of a hot key, and HotSplit.max_pieces bounds those.
     joined = local.join(F.broadcast(entry), grouped)

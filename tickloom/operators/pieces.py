@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 class HotSplit:
     """``max_pieces`` bounds what is broadcast; pieces grow beyond ``rows_per_piece`` if it binds."""
 
-    rows_per_piece: int = 4_000_000
+    rows_per_piece: int = 1_000_000
     max_pieces: int = 50_000
 
 

@@ -24,7 +24,8 @@ def enrich_stream(ticks: DataFrame, rsi_seed: str = "zero") -> DataFrame:
     """The streaming twin of :func:`operators.enrich.enrich`: one output row per valid tick.
 
     Ticks of a ticker are applied in order inside a micro-batch and as they arrive across them; how
-    many a micro-batch holds is bounded at the source. State holds fifty prices and a few sums.
+    many a micro-batch holds is bounded at the source. State holds fifty prices and a few sums, and
+    is kept for ever.
     """
     spec = IndicatorSpec(rsi_seed=rsi_seed)
     rows = valid_ticks(ticks)
