@@ -132,6 +132,18 @@ def _stream_health(spark: SparkSession, folder: str) -> DataFrame:
     return report.agg(F.sum("ticks").alias("ticks"), F.sum("valid").alias("valid")).crossJoin(F.broadcast(written))
 
 
+def _stream_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Each micro-batch summarised by the function that its end calls."""
+    path = scratch_path(spark, "summaries")
+
+    def done(result: DataFrame, batch_id: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+
+    stream = _tick_stream(spark, folder).writeStream.foreachBatch(summary.summary_sink(done))
+    stream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _out(spark.read.parquet(f"{path}/out").drop("batch_id"))
+
+
 def _stream_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The subscription change feed; the newest list of each client that still has one."""
     _ticks(spark, folder)
@@ -310,6 +322,7 @@ def queries() -> dict[str, Query]:
         "overwritten": lambda s, d: retain.overwritten(_valid(s, d), 100),
         # clients
         "known_actions": lambda s, d: routing.known_actions(_log(s, d)).select("client_id", "action", "seq"),
+        "known_actions_salted": lambda s, d: routing.known_actions(_log(s, d), 0).select("client_id", "action", "seq"),
         "subscription_state": lambda s, d: routing.subscriptions(_log(s, d)),
         "subscription_lists": lambda s, d: routing.subscription_lists(_log(s, d)).select(
             "client_id", F.array_join("tickers", ",").alias("tickers")
@@ -331,6 +344,7 @@ def queries() -> dict[str, Query]:
         "stream_two_sinks": _stream_two_sinks,
         "stream_topics": _stream_topics,
         "stream_health": _stream_health,
+        "stream_summary": _stream_summary,
         "stream_feed": _stream_feed,
         "stream_routed": _stream_routed,
     }

@@ -428,5 +428,6 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
     }
     queries["routed_ticks_salted"] = queries["stream_routed"] = queries["routed_ticks"]
     queries["stream_enriched"] = queries["stream_topics"] = queries["enriched_ticks"]
+    queries["stream_summary"], queries["known_actions_salted"] = queries["ticker_summary"], queries["known_actions"]
     queries["stream_points"] = queries["stored_points"]
     return queries

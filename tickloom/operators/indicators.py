@@ -34,6 +34,7 @@ _LARGEST_EXPONENT = 600.0
 # Moving averages up to this period are summed row by row when nothing else needs blocks.
 _SHORT_FRAME = 16
 _SMA_BLOCK = 256
+_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def with_indicators(
@@ -55,7 +56,7 @@ def with_indicators(
     if hot is None:
         return _whole(ticks, by, order, spec, keep_pieces)
     cold, pieces = divide(ticks, by, order, hot)
-    corrected = _corrected(pieces, by, order, spec, keep_pieces)
+    corrected = _corrected(pieces, by, order, spec, keep_pieces, hot.pieces)
     return _whole(cold, by, order, spec, keep_pieces).unionByName(corrected)
 
 
@@ -232,7 +233,9 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
     return df.withColumns(ends).drop(*spent)
 
 
-def _corrected(pieces: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec, keep_pieces: bool) -> DataFrame:
+def _corrected(
+    pieces: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec, keep_pieces: bool, count: int
+) -> DataFrame:
     spark = pieces.sparkSession
     grouped = [*by, "_piece"]
     whole = Window.partitionBy(*grouped)
@@ -251,8 +254,12 @@ def _corrected(pieces: DataFrame, by: list[str], order: list[str], spec: Indicat
     local = spark.read.schema(local.schema).parquet(path)
 
     entry = _entries(local, grouped, by, spec, head)
-    # One row per piece of a hot key, and HotSplit.max_pieces bounds those.
-    joined = local.join(F.broadcast(entry), grouped)
+    # One row per piece and key (a piece may hold the end of one key and the start of the next), and
+    # HotSplit.max_pieces bounds both; long periods make the rows wide.
+    values = (len(spec.sma) + len(spec.rsi)) * head + 3 * len(spec.rsi) + 4
+    if 2 * count * values * 8 <= _BROADCAST_BYTES:
+        entry = F.broadcast(entry)
+    joined = local.join(entry, grouped)
 
     at = F.col("_at")
     in_head = at < head

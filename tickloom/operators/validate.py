@@ -51,5 +51,5 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
 def watch_only(ticks: DataFrame, watch: DataFrame | list[str] | tuple[str, ...]) -> DataFrame:
     """Ticks of a watch list, given as symbols or as a relation with a ``ticker`` column."""
     if isinstance(watch, DataFrame):
-        return ticks.join(watch.select("ticker").distinct(), "ticker", "left_semi")
+        return ticks.join(watch.select("ticker"), "ticker", "left_semi")
     return ticks.where(F.col("ticker").isin(list(watch)))
