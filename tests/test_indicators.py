@@ -102,6 +102,24 @@ def test_flat_stretch_keeps_the_index(make_ticks):
     assert len({round(v, 9) for v in values[40:2540]}) == 1
 
 
+@pytest.mark.parametrize("spec", [
+    IndicatorSpec(sma=(7, 300), rsi=(2, 14, 200), vwap=False),
+    IndicatorSpec(sma=(3, 20, 600), rsi=(), vwap=False),
+    IndicatorSpec(sma=(50,), rsi=(1, 2), vwap=False),
+    IndicatorSpec(sma=(), rsi=(60,), vwap=False, rsi_seed="wilder"),
+])
+def test_far_apart_periods(make_ticks, spec):
+    """Periods that need blocks of different sizes, over several blocks."""
+    rng = random.Random(11)
+    prices = [round(rng.uniform(1, 100), 2) for _ in range(2200)]
+    rows = with_indicators(make_ticks([("A", p) for p in prices]), spec).orderBy("seq").collect()
+    for p in spec.rsi:
+        assert [row[f"rsi_{p}"] for row in rows] == pytest.approx(fold(prices, p, spec.rsi_seed), abs=1e-8)
+    for p in spec.sma:
+        means = [0.0 if i + 1 < p else sum(prices[i + 1 - p : i + 1]) / p for i in range(len(prices))]
+        assert [row[f"sma_{p}"] for row in rows] == pytest.approx(means, abs=1e-9)
+
+
 def test_ties_in_time_go_by_seq(make_ticks):
     prices = [10.0, 30.0, 20.0, 50.0, 40.0]
     known = with_indicators(make_ticks([("A", p) for p in prices], ts=lambda i: None), IndicatorSpec(sma=(2,), rsi=(2,), vwap=False))
@@ -171,6 +189,17 @@ def test_piece_count_is_bounded(make_ticks):
     assert parts.select("piece").distinct().count() <= 5
 
 
+def test_entries_too_large_to_broadcast_are_joined(make_ticks, monkeypatch):
+    from tickloom.operators import indicators
+
+    ticks = make_ticks([("A", 10.0 + (i * 3) % 11) for i in range(300)])
+    whole = [r["rsi_14"] for r in with_indicators(ticks).orderBy("seq").collect()]
+    monkeypatch.setattr(indicators, "_BROADCAST_BYTES", 0)
+    parts = with_indicators(ticks, split=HotSplit(80))
+    assert "ResolvedHint" not in parts._jdf.queryExecution().analyzed().toString()
+    assert [r["rsi_14"] for r in parts.orderBy("seq").collect()] == pytest.approx(whole)
+
+
 def test_split_with_reset(make_ticks):
     ticks = make_ticks([("A", 10.0 + (i * 3) % 11) for i in range(400)]).selectExpr("*", "seq >= 250 as half")
     spec = IndicatorSpec(sma=(5,), rsi=(3,), reset_by=("half",))

@@ -22,12 +22,12 @@ def enrich(ticks: DataFrame, rsi_seed: str = "zero", split: HotSplit = DEFAULT_S
 
 
 def nest_indicators(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumns(
-        {
-            "indicators": F.struct(*[F.col(name) for name in INDICATOR_FIELDS]),
-            "indicators_ready": sma_ready(READY_AT),
-        }
-    ).drop("tick_no", "vwap_ready", *INDICATOR_FIELDS)
+    spent = {"tick_no", "vwap_ready", *INDICATOR_FIELDS}
+    return ticks.select(
+        *[name for name in ticks.columns if name not in spent],
+        F.struct(*INDICATOR_FIELDS).alias("indicators"),
+        sma_ready(READY_AT).alias("indicators_ready"),
+    )
 
 
 def with_signals(ticks: DataFrame, tolerance: float = 0.001) -> DataFrame:

@@ -47,6 +47,7 @@ def with_indicators(
 
     ``ticks`` must hold valid ticks only (see :func:`validate.valid_ticks`). Values are 0.0 until
     an indicator is ready. ``keep_pieces`` also appends ``piece`` and the following ``next_price``.
+    The input is counted before it is used, so store it first if it is costly to compute.
     """
     if ticks.isStreaming:
         raise ValueError("use streaming.enrich for a stream")
@@ -168,7 +169,7 @@ def _amounts(df: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec
                 first = F.sum(F.when(at <= p, amount).otherwise(0.0)).over(running)
                 amount = F.when(at == p, first).otherwise(amount)
             columns[f"_{name}_{p}"] = F.when(at >= p, amount / p).otherwise(0.0)
-    return df.withColumns(columns).drop("_change") if columns else df
+    return df.withColumns(columns) if columns else df
 
 
 def _state(period: int) -> Column:
@@ -185,6 +186,7 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
     """
     df = df.withColumns(
         {"_block": F.floor(F.col("_at") / group.size).cast("long"), "_in_block": (F.col("_at") % group.size).cast("int")}
+        | {f"_moved_{p}": (F.col(f"_gain_{p}") > 0) | (F.col(f"_loss_{p}") > 0) for p in group.rsi}
     )
     in_block = F.col("_in_block")
     inside = Window.partitionBy(*by, "_block").orderBy("_in_block")
@@ -196,9 +198,6 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
 
     # What a row adds, lifted to the start of its block. The sums never fall, so a block's total is
     # its largest.
-    df = df.withColumns(
-        {f"_moved_{p}": (F.col(f"_gain_{p}") > 0) | (F.col(f"_loss_{p}") > 0) for p in group.rsi}
-    )
     sums = {
         f"_inside_{name}_{p}": F.sum(F.col(f"_{name}_{p}") * F.pow(F.lit(p / (p - 1)), in_block)).over(inside)
         for name, p in pairs
@@ -228,9 +227,10 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
         dropped = F.coalesce(F.lag("_inside_price", p).over(onward), F.lit(0.0))
         mean = (F.col("_inside_price") + (crossing - dropped)) / p
         ends[f"_sma_{p}"] = F.when(F.col("_at") >= p - 1, mean).otherwise(0.0)
-    spent = [f"_inside_{name}_{p}" for name, p in pairs]
-    spent += [f"_moved_{p}" for p in group.rsi] + ["_block", "_in_block", "_inside_price", "_before_price"]
-    return df.withColumns(ends).drop(*spent)
+    spent = {f"_inside_{name}_{p}" for name, p in pairs} | {f"_moved_{p}" for p in group.rsi}
+    spent |= {"_block", "_in_block", "_inside_price", "_before_price"}
+    kept = [name for name in df.columns if name not in spent]
+    return df.select(*kept, *[column.alias(name) for name, column in ends.items()])
 
 
 def _corrected(
@@ -247,8 +247,7 @@ def _corrected(
     local = local.withColumns({name: F.when(ends, F.col(name)) for name in averages}).withColumn(
         "_left", F.when(F.col("_left") < head, F.col("_left"))
     )
-    if not keep_pieces:
-        local = local.drop("_next")
+    local = local.drop("_change", *(() if keep_pieces else ("_next",)))
     path = scratch_path(spark, "pieces")
     local.write.parquet(path)
     local = spark.read.schema(local.schema).parquet(path)

@@ -57,7 +57,7 @@ def correlation(
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     paired = placed.withColumn("other", other).withColumns(
         {"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}
-    )
+    ).drop("other")
     schema = "ticker_a STRING, ticker_b STRING, " + ", ".join(f"{name} DOUBLE" for name in _SUMS)
     sums = paired.groupBy("block_a", "block_b", "span").applyInPandas(_pair_sums, schema)
     sums = sums.groupBy("ticker_a", "ticker_b").agg(*[F.sum(name).alias(name) for name in _SUMS])

@@ -19,6 +19,9 @@ def build_session(app_name: str = "tickloom", cores: str = "*", shuffle_partitio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites are recorded for every column expression otherwise, which slows building a query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
