@@ -88,3 +88,10 @@ def test_backtest_follows_the_rules(make_ticks, split):
         for rule in rules:
             expected = brute(prices, rule)
             assert rows[ticker, rule.name] == tuple(v if v is None else pytest.approx(v, abs=1e-9) for v in expected)
+
+
+def test_equal_averages_are_not_a_crossover(make_ticks):
+    """Prices whose two averages are equal again and again, though not to the last digit in floating point."""
+    prices = [0.1, 0.2, 0.3, 0.2] * 150
+    row = backtest(make_ticks([("A", p) for p in prices]), (Crossover(4, 8),)).collect()[0]
+    assert (row["trades"], row["held"]) == (0, 0)

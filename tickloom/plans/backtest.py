@@ -17,6 +17,9 @@ from ..operators.pieces import DEFAULT_SPLIT, HotSplit
 from ..operators.validate import valid_ticks
 
 
+_ROUNDING = 1e-10
+
+
 @dataclass(frozen=True)
 class Crossover:
     """Long while the fast average is above the slow one."""
@@ -29,7 +32,9 @@ class Crossover:
         return f"sma_{self.fast}_{self.slow}"
 
     def position(self) -> Column:
-        above = F.col(f"sma_{self.fast}") > F.col(f"sma_{self.slow}")
+        # Equal averages may differ in their last digits, and equal is not above.
+        fast, slow = F.col(f"sma_{self.fast}"), F.col(f"sma_{self.slow}")
+        above = fast - slow > slow * _ROUNDING
         return F.when(sma_ready(max(self.fast, self.slow)) & above, F.lit(1)).otherwise(F.lit(0))
 
 
