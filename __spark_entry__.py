@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -347,8 +348,36 @@ def queries() -> dict[str, Query]:
         "stream_summary": _stream_summary,
         "stream_feed": _stream_feed,
         "stream_routed": _stream_routed,
-    }
+    } | _corpus_queries()
+
+
+def _corpus_queries() -> dict[str, Query]:
+    """Queries of the training-data operators, where that subpackage is installed."""
+    found: dict[str, Query] = {}
+    if importlib.util.find_spec("tickloom.llm"):
+        from tickloom.llm import queries as corpus
+
+        found |= corpus.queries()
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def _corpus_sql() -> dict[str, str]:
+    found: dict[str, str] = {}
+    if importlib.util.find_spec("tickloom.llm"):
+        from tickloom.llm import queries as corpus
+
+        found |= corpus.oracle_sql()
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | _corpus_sql()
