@@ -351,14 +351,20 @@ def queries() -> dict[str, Query]:
     } | _corpus_queries()
 
 
+def _installed(module: str) -> bool:
+    """Whether the module has code; a folder left without any does not count."""
+    spec = importlib.util.find_spec(module)
+    return spec is not None and spec.origin is not None
+
+
 def _corpus_queries() -> dict[str, Query]:
     """Queries of the training-data operators, where that subpackage is installed."""
     found: dict[str, Query] = {}
-    if importlib.util.find_spec("tickloom.llm"):
+    if _installed("tickloom.llm"):
         from tickloom.llm import queries as corpus
 
         found |= corpus.queries()
-    if importlib.util.find_spec("corpus_pipeline"):
+    if _installed("corpus_pipeline"):
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
@@ -367,11 +373,11 @@ def _corpus_queries() -> dict[str, Query]:
 
 def _corpus_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    if importlib.util.find_spec("tickloom.llm"):
+    if _installed("tickloom.llm"):
         from tickloom.llm import queries as corpus
 
         found |= corpus.oracle_sql()
-    if importlib.util.find_spec("corpus_pipeline"):
+    if _installed("corpus_pipeline"):
         import corpus_pipeline
 
         if corpus_pipeline.ORACLE_SQL is not None:
