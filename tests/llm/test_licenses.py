@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import re
+
+from tickloom.llm import licenses as L
+
+
+def bigrams(text):
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    return set(zip(words, words[1:]))
+
+
+def brute(rows, threshold=L.THRESHOLD):
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        units = list(enumerate(lines, 1)) + ([(0, text)] if len(lines) > 1 else [])
+        for line, unit in units:
+            own = bigrams(unit)
+            for k, (name, template) in enumerate(L.TEMPLATES):
+                other = bigrams(template)
+                if own and 2 * len(own & other) >= threshold * (len(own) + len(other)) - 1e-12:
+                    out.append((doc_id, line, k, name, round(2 * len(own & other) / (len(own) + len(other)), 9)))
+    return sorted(out, key=str)
+
+
+def test_scan_matches_brute_force(make_docs, odd_texts):
+    rows = list(enumerate(odd_texts))
+    for k, (_, text) in enumerate(L.TEMPLATES):
+        words = text.split()
+        rows += [(100 + k, text), (200 + k, f"Some title\n{text.upper()}\nMore."), (300 + k, " ".join(words[: -max(1, len(words) // 6)]))]
+        rows += [(400 + k, text.replace(" ", "\n")), (500 + k, text + " " + text), (600 + k, "x " * 300 + text)]
+    rows += [(None, L.TEMPLATES[0][1]), (100, L.TEMPLATES[0][1]), (700, "\n" + L.TEMPLATES[3][1] + "\r")]
+    found = L.scan(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.line, r.template, r.license, round(r.dice, 9)) for r in found), key=str) == brute(rows)
+
+
+def test_nothing_to_find(make_docs):
+    docs = make_docs([(1, None), (2, ""), (3, "\n\n"), (4, "word")])
+    assert L.scan(docs).count() == 0 and L.scan(docs.where("doc_id > 9")).count() == 0
+    assert L.scan(make_docs([(1, "Own words here.")]), templates=(("own", "own words here"),)).first().dice == 1.0
+
+
+def test_plan_has_no_shuffle_and_no_python(spark, make_docs):
+    plan = L.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -30,7 +30,7 @@ K1, B = 1.2, 0.75
 ENCODED = "doc_id LONG, n LONG, ids BINARY"
 PIECES = (
     "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, `offset` LONG, "
-    "sequence_length LONG, ids ARRAY<LONG>"
+    "sequence_length LONG, ids ARRAY<INT>"
 )
 
 
@@ -153,7 +153,7 @@ def _shard(shard: int, group: pa.Table, rarity: np.ndarray, mean: float, window:
             for column, value in zip(out.values(), row):
                 column.append(value)
             offset += length
-    types = dict.fromkeys(out, pa.int64()) | {"ids": pa.list_(pa.int64())}
+    types = dict.fromkeys(out, pa.int64()) | {"ids": pa.list_(pa.int32())}
     return pa.table({name: pa.array(values, types[name]) for name, values in out.items()})
 
 

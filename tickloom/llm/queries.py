@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import scratch_path
 
-from . import bitplanes, bm25_packing, grace_dedup, risk_rules, warc
+from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm, risk_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,12 +30,25 @@ def op2_bitplanes(spark: SparkSession, folder: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, ids=False)
 
 
+def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, folder, "documents")).drop("text_key")
+
+
 def op4_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = risk_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *[f"counts.{name}" for name in names], "base_failed", "kept")
 
 
+def op5_block_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.mix(table(spark, folder, "documents")).taken
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_html_model(spark: SparkSession, folder: str) -> DataFrame:
+    return html_model.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op7_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return grace_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -57,13 +70,28 @@ def op8_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ppm.score_documents(table(spark, folder, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "line", "template", "license", F.round("dice", 9).alias("dice"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bm25_packing": op1_bm25_packing,
         "op2_bitplanes": op2_bitplanes,
+        "op3_order_minhash": op3_order_minhash,
         "op4_risk_rules": op4_risk_rules,
+        "op5_block_mixing": op5_block_mixing,
+        "op6_html_model": op6_html_model,
         "op7_grace_dedup": op7_grace_dedup,
         "op8_warc_captures": op8_warc_captures,
+        "op9_ppm": op9_ppm,
+        "op10_license_scan": op10_license_scan,
     }
 
 
