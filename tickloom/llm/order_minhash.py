@@ -7,10 +7,11 @@ in a sketch with a probability that falls with their edit distance, including mo
 MinHash does not see.
 
 Nodes that agree in a sketch share a bucket. A bucket is never expanded into pairs: each member is compared
-with one leader of the bucket, so the comparisons are linear in the number of sketches. Comparisons are exact:
-edit distance over words, computed along the diagonals of a band as wide as the distance may be. Texts whose
+with one leader of the bucket, in later rounds with ``LEADERS``, so the comparisons are linear in the number of
+sketches. Comparisons are exact:
+edit distance over words, computed within a band as wide as the distance may be. Texts whose
 distance is at most ``1 - similarity`` of the longer one are linked, and classes are the connected components
-of the links. As long as a round finds links, another one follows with other leaders, in the buckets which
+of the links. As long as a round finds links, another one follows with other leaders, over the buckets which
 then still hold several classes.
 
 With 32 sketches of two runs, two texts which share a fraction J of their runs meet in a bucket with
@@ -19,7 +20,6 @@ probability about ``1 - (1 - J^2)^32``: over 0.9999 for J of 0.6 and over 0.99 f
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +34,7 @@ from .common import SPACE, known_join, saved, small, whole_text
 from .components import components
 
 K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
+LEADERS = 4
 SKETCH = "node LONG, n LONG, bucket LONG"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,41 +97,61 @@ def _word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
 def edit_distance(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, otherwise None.
 
-    Follows the diagonals ``-most .. most``. ``reach[d]`` is how far into ``a`` one gets on diagonal ``d`` with
-    so many edits; on each diagonal the places where the sequences differ are found once.
+    What both begin and end with is left out, then bands of growing width are tried.
     """
     if abs(len(a) - len(b)) > most:
         return None
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    same = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     left, right = Counter(a), Counter(b)
     if max((left - right).total(), (right - left).total()) > most:
         return None
-    codes = {word: k for k, word in enumerate(left | right)}
-    x, y = (np.fromiter((codes[w] for w in words), np.int64, len(words)) for words in (a, b))
-    goal, n, m = len(b) - len(a), len(a), len(b)
-    breaks: dict[int, list[int]] = {}
-
-    def slide(d: int, i: int) -> int:
-        if d not in breaks:
-            lo, hi = max(0, -d), min(n, m - d)
-            breaks[d] = (np.flatnonzero(x[lo:hi] != y[lo + d : hi + d]) + lo).tolist() + [hi]
-        found = breaks[d]
-        return max(i, found[min(bisect_left(found, i), len(found) - 1)])
-
-    reach = {0: slide(0, 0)}
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return edits
-        further = {}
-        for d in range(-edits - 1, edits + 2):
-            if not max(-most, -n) <= d <= min(most, m):
-                continue
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if i >= 0 and i + d >= 0:
-                i = min(i, n, m - d)
-                if i >= 0:
-                    further[d] = slide(d, i)
-        reach = further
-    return None
+    width = min(most, max(16, abs(len(a) - len(b))))
+    while True:
+        found = _in_band(a, b, width)
+        if found <= width:
+            return found
+        if width == most:
+            return None
+        width = min(most, 4 * width)
+
+
+def _in_band(a: list, b: list, width: int) -> int:
+    """Edit distance along paths that stay within ``width`` of the diagonal (more than ``width`` if none is short).
+
+    A column of the band is two bit vectors, of the places where the distance rises and falls by one from row
+    to row (Myers 1999, in the banded form of Hyyro 2003); the band moves down one row with each column. The
+    value is followed along the band's lower edge and then along the last row.
+    """
+    rows, width = len(a), min(width, max(len(a), len(b)))
+    places: dict = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | (1 << k)
+    bits = 2 * width + 2
+    mask, edge = (1 << bits) - 1, 1 << (bits - 1)
+    rise, fall, value = mask ^ ((1 << (bits - width - 1)) - 1), 0, min(width, rows)
+    if width > rows:  # the lower edge begins below the last row
+        last = 1 << (bits - 2 - (width - rows))
+    else:
+        last = 1 << (bits - 2)
+    at = width + 1 - bits
+    for j, word in enumerate(b):
+        equal = places.get(word, 0)
+        equal = (equal >> at if at >= 0 else equal << -at) & mask
+        diagonal = ((((equal & rise) + rise) ^ rise) | equal | fall) & mask
+        up = fall | (mask ^ ((diagonal | rise) & mask))
+        down = diagonal & rise
+        if j < rows - width:
+            value += not diagonal & edge
+        else:
+            value += bool(up & last) - bool(down & last)
+            last >>= 1
+        rise = down | (mask ^ (((diagonal >> 1) | up) & mask))
+        fall = (diagonal >> 1) & up
+        at += 1
+    return value
 
 
 def _linked(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -209,19 +230,26 @@ def near_duplicates(
     n_members = members.count()
     labels, links, turn = None, None, 0
     while True:
-        known = members if labels is None else members.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        known = known.withColumn("label", label)
-        known = known if labels is None else saved(known, "near-labelled")
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "label")).alias("first")
+        if labels is None:
+            known = members.withColumn("label", F.col("node"))
+        else:
+            label = F.coalesce("new", "node")
+            known = members.join(labels.withColumnRenamed("label", "new"), "node", "left").withColumn("label", label).drop("new")
+        chosen = [
+            F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), "node", "n", "label"))
+            for k in range(1 if turn == 0 else LEADERS)
+        ]
         mixed = F.min("label") != F.max("label")
-        leaders = known.groupBy("bucket").agg(first, F.first("members").alias("members"), mixed.alias("mixed")).where("mixed")
-        leaders = saved(leaders.select("bucket", F.col("members").alias("n_here"), "first"), "near-leaders")
-        pairs = known_join(known, leaders, "bucket", "n_here", n_members)
+        leaders = known.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders"), F.first("members").alias("n_here"), mixed.alias("mixed"))
+        leaders = saved(leaders.where("mixed").drop("mixed"), "near-leaders")
+        # From now on only the buckets with several classes count.
+        members = saved(known_join(known, leaders, "bucket", "n_here", n_members), "near-members")
+        pairs = members.select("node", "n", "label", F.explode("leaders").alias("first"))
         longer, shorter = F.greatest("n", "first.n"), F.least("n", "first.n")
         close = longer - shorter <= F.floor((1 - similarity) * longer + 1e-9)
         pairs = pairs.where((F.col("label") != F.col("first.label")) & close)
         pairs = saved(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+        members = members.select("bucket", "node", "n", "members")
         found = saved(_verified(pairs, texts, similarity), "near-links")
         if found.isEmpty():
             break

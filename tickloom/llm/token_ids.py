@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import string
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,9 @@ import pyarrow.compute as pc
 #: ASCII marks without the apostrophe, which contractions join to letters.
 MARKS = string.punctuation.replace("'", "")
 #: A worker keeps the ids of so many pieces; beyond, it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
+#: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
+SLICE_BYTES = 4 << 20
 
 
 class Encoder:
@@ -43,10 +46,8 @@ class Encoder:
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes, straight from the tokenizer."""
-        return [
-            np.array(found.ids, np.uint32).tobytes()
-            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", one.ids).tobytes() for one in found]
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         parts = [_stem_and_marks(piece) for piece in pieces]
@@ -63,8 +64,18 @@ class Encoder:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (one more entry for the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        sizes = pc.binary_length(texts).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+        found, bounds, at = [], [np.zeros(1, np.int64)], 0
+        for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
+            if lo < hi:
+                ids, own = self._slice(texts.slice(lo, hi - lo))
+                found.append(ids)
+                bounds.append(own[1:] + at)
+                at += len(ids)
+        return (np.concatenate(found) if found else np.empty(0, np.uint32)), np.concatenate(bounds)
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
@@ -78,7 +89,7 @@ class Encoder:
     def _joined(self, texts, bounds, codes, words) -> tuple[np.ndarray, np.ndarray]:
         # The first piece of a text has no space before it; it gets a code of its own.
         heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
-        unsafe = np.array([not word or word[0].isspace() or word[-1].isspace() for word in words], bool)
+        unsafe = np.array([not word or word.strip() is not word for word in words], bool)
         # Next to other white space a cut at a space is not safe: such texts are encoded whole.
         whole = np.add.reduceat(unsafe[codes].astype(np.int64), bounds[:-1]) > 0
         codes[bounds[:-1]] = len(words) + head_codes
@@ -97,6 +108,8 @@ class Encoder:
 
 
 def _stem_and_marks(piece: str) -> tuple[str, ...]:
+    if piece[-1:].isalpha():
+        return (piece,)
     stem = piece.rstrip(MARKS)
     if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1] < "ɐ":
         return stem, piece[len(stem) :]
