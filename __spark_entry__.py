@@ -24,7 +24,7 @@ from tickloom.session import scratch_path
 from tickloom.sources import fixtures, store, topics
 from tickloom.sources.ticks import read_events, ticks_from_events
 from tickloom.streaming import health, sinks, subscriptions
-from tickloom.streaming.enrich import counted_stream, enrich_stream
+from tickloom.streaming.enrich import enrich_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,13 +124,20 @@ def _stream_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stream_health(spark: SparkSession, folder: str) -> DataFrame:
-    rows = counted_stream(_tick_stream(spark, folder))
+    """Totals over the persisted counters of all micro-batches, beside the rows that were written."""
     path = scratch_path(spark, "stream")
-    query = sinks.to_files(validate.valid_ticks(rows), f"{path}/out", f"{path}/state", drain=True)
-    query.awaitTermination()
-    report = health.health_report(spark, query)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        health.write_counters(batch, batch_id, f"{path}/counters")
+        validate.valid_ticks(batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        batch.unpersist()
+
+    stream = _tick_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    totals = health.read_counters(spark, f"{path}/counters").agg(F.sum("ticks").alias("ticks"), F.sum("valid").alias("valid"))
     written = spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("points"))
-    return report.agg(F.sum("ticks").alias("ticks"), F.sum("valid").alias("valid")).crossJoin(F.broadcast(written))
+    return totals.crossJoin(F.broadcast(written))
 
 
 def _stream_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,6 +309,7 @@ def queries() -> dict[str, Query]:
         ),
         "batch_counters": _counters,
         # stored points
+        "stored_raw_points": lambda s, d: _out(reshape.to_points(_ticks(s, d))),
         "stored_points": lambda s, d: _out(_points(s, d)),
         "points_long": lambda s, d: _out(reshape.to_long(_points(s, d))),
         "points_wide": lambda s, d: _out(reshape.to_wide(reshape.to_long(_points(s, d)))),

@@ -379,6 +379,12 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
         "ticker_summary_hot": summary(HOT, "valid"),
         "batch_counters": with_(RAW)
         + "SELECT count(*) AS ticks, count(ticker) AS ticks_with_ticker, count(CASE WHEN ticker IS NOT NULL AND price > 0 THEN 1 END) AS ticks_valid FROM raw",
+        "stored_raw_points": with_(RAW)
+        + "SELECT ticker, coalesce(source, 'unknown') AS source, ts, seq, round(price, 6) AS price, "
+        + ", ".join(f"round(coalesce({name}, 0), 6) AS {name}" for name in ("open", "high", "low"))
+        + ", coalesce(volume, 0) AS volume, "
+        + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in ("sma_20", "sma_50", "rsi_14", "vwap"))
+        + " FROM raw WHERE ticker IS NOT NULL AND price IS NOT NULL",
         "stored_points": stored + f"SELECT {POINT_LIST} FROM points",
         "points_long": stored + long_parts,
         "points_wide": stored + "SELECT ticker, source, ts, seq, " + ", ".join(r(name) for name in FIELDS) + " FROM points",

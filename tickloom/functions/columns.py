@@ -30,8 +30,14 @@ def iso_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
 
 
+def is_finite(column: Column) -> Column:
+    """False for NaN, infinities and NULL; NaN sorts above every number in Spark."""
+    return F.coalesce((column > -float("inf")) & (column < float("inf")), F.lit(False))
+
+
 def number_or(column: Column, default: float = 0.0) -> Column:
-    return F.coalesce(column, F.lit(default))
+    """The number, or the default where it is missing or not finite."""
+    return F.when(is_finite(column), column).otherwise(F.lit(default))
 
 
 def is_valid_price(price: Column) -> Column:
@@ -44,7 +50,8 @@ def typical_price(price: Column, high: Column, low: Column) -> Column:
 
 
 def counts_for_vwap(price: Column, high: Column, low: Column, volume: Column) -> Column:
-    return F.coalesce((volume > 0) & (price > 0) & (high > 0) & (low > 0), F.lit(False))
+    prices = is_valid_price(price) & is_valid_price(high) & is_valid_price(low)
+    return prices & F.coalesce(volume > 0, F.lit(False))
 
 
 def percent_change(first: Column, last: Column) -> Column:

@@ -83,6 +83,7 @@ def quotes_source_two(landed: DataFrame, event_time: str = "fetch") -> DataFrame
     reason = F.when(_unreadable(body, doc), F.lit("malformed_json"))
     reason = reason.when(trade.isNull() | doc["status"].isNull(), F.lit("missing_results"))
     reason = reason.when(doc["status"] != "OK", F.lit("bad_status"))
+    reason = reason.when(trade["p"].isNotNull() & ~C.is_finite(trade["p"]), F.lit("bad_number:p"))
     return _ticks(rows, values, time, SOURCE_TWO, reason)
 
 

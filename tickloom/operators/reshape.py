@@ -13,8 +13,8 @@ POINT_KEYS = ("ticker", "source", "ts", "seq")
 
 
 def to_points(enriched: DataFrame) -> DataFrame:
-    """One point per storable tick; indicators stay NULL until ``indicators_ready``."""
-    ready = F.col("indicators_ready")
+    """One point per storable tick; indicators stay NULL until ``indicators_ready``, and for plain ticks."""
+    known = "indicators" in enriched.columns and "indicators_ready" in enriched.columns
     return storable(enriched).select(
         "ticker",
         F.coalesce("source", F.lit(UNKNOWN)).alias("source"),
@@ -24,7 +24,11 @@ def to_points(enriched: DataFrame) -> DataFrame:
         *[C.number_or(F.col(name)).alias(name) for name in ("open", "high", "low")],
         F.coalesce("volume", F.lit(0).cast("long")).alias("volume"),
         *[
-            F.when(ready, C.number_or(F.col("indicators")[name])).alias(name)
+            (
+                F.when(F.col("indicators_ready"), C.number_or(F.col("indicators")[name]))
+                if known
+                else F.lit(None).cast("double")
+            ).alias(name)
             for name in INDICATOR_FIELDS
         ],
     )

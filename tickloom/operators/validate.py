@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..schema import WATCH_LIST
 
 REJECT = "reject_reason"
 
@@ -48,7 +49,7 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy(REJECT).agg(F.count(F.lit(1)).alias("n"))
 
 
-def watch_only(ticks: DataFrame, watch: DataFrame | list[str] | tuple[str, ...]) -> DataFrame:
+def watch_only(ticks: DataFrame, watch: DataFrame | list[str] | tuple[str, ...] = WATCH_LIST) -> DataFrame:
     """Ticks of a watch list, given as symbols or as a relation with a ``ticker`` column."""
     if isinstance(watch, DataFrame):
         return ticks.join(watch.select("ticker"), "ticker", "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import columns as C
 from ..functions.stepper import IndicatorSpec, Smoothed, TickerState, advance
 from ..operators.enrich import nest_indicators
 from ..operators.validate import valid_ticks
@@ -73,7 +74,7 @@ def _store(state: TickerState) -> tuple:
 
 def counted_stream(ticks: DataFrame) -> DataFrame:
     """The stream with the counters of :mod:`streaming.health` attached."""
-    valid = F.col("ticker").isNotNull() & (F.col("price") > 0)
+    valid = F.col("ticker").isNotNull() & C.is_valid_price(F.col("price"))
     return ticks.observe(
         "health",
         F.count(F.lit(1)).alias("ticks"),

@@ -6,8 +6,12 @@ import json
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions import columns as C
+
+COUNTERS = "batch BIGINT, ticks BIGINT, valid BIGINT, points BIGINT, tickers BIGINT"
 HEALTH = "query STRING, batch BIGINT, at STRING, ticks BIGINT, valid BIGINT, tickers BIGINT, in_state BIGINT"
 
 
@@ -31,6 +35,26 @@ def health_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     return spark.createDataFrame(rows, HEALTH)
 
 
+def write_counters(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Counters of one micro-batch, kept for good; a repeated batch overwrites its own.
+
+    Unlike the progress that a query keeps in memory, these cover every batch however long the stream runs.
+    """
+    valid = F.col("ticker").isNotNull() & C.is_valid_price(F.col("price"))
+    counters = batch.agg(
+        F.count(F.lit(1)).alias("ticks"),
+        F.count(F.when(valid, 1)).alias("valid"),
+        F.count(F.when(F.col("ticker").isNotNull() & F.col("price").isNotNull(), 1)).alias("points"),
+        F.approx_count_distinct("ticker").alias("tickers"),
+    )
+    counters.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """One row per micro-batch written by :func:`write_counters`."""
+    return spark.read.schema(COUNTERS).parquet(path)
+
+
 class HealthListener(StreamingQueryListener):
     """Keeps the latest progress rows of all streams; add it with ``spark.streams.addListener``."""
 

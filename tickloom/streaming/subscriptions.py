@@ -31,7 +31,7 @@ def _follow(key: tuple, frames: Iterable[pd.DataFrame], group: GroupState) -> It
             held = None
         elif held is not None and action is not None and tickers is not None:
             if action == "subscribe":
-                held |= set(tickers)
+                held |= {ticker for ticker in tickers if ticker is not None}
             elif action == "unsubscribe":
                 held -= set(tickers)
             changes.append((key[0], seq, sorted(held)))
