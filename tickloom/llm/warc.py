@@ -96,11 +96,12 @@ def write_archives(
     )
     several = saved(groups.where("copies > 1"), "payload-groups")
     decided = known_join(digested.select("page_id", "sha").distinct(), several, "sha", "copies", digested.count())
-    decided = decided.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first_id", F.lit(True).alias("grouped"))
-    keyed = rows.withColumn("sha", F.sha1("html"))
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
-    placed = keyed.join(decided, same, "left").select("page_id", "url", "html", "sha", "first_id", "grouped")
-    placed = placed.repartition("page_id", "sha").sortWithinPartitions("page_id", "sha")
+    # One shuffle of the payloads: rows that repeat page id and payload must meet, in any join that Spark picks.
+    key = F.concat_ws(":", F.col("page_id").cast("string"), F.col("sha"))
+    decided = decided.select(key.alias("key"), "first_id", F.lit(True).alias("grouped"))
+    keyed = rows.withColumn("sha", F.sha1("html")).withColumn("key", key).repartition("key")
+    placed = keyed.join(decided, "key", "left").select("page_id", "url", "html", "sha", "first_id", "grouped")
+    placed = placed.sortWithinPartitions("page_id", "sha")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, count, size, before, nth = None, 0, 0, None, 0
@@ -215,4 +216,6 @@ def captures(records: DataFrame) -> DataFrame:
             F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri", "date", "fields").alias(kind)
         )
 
-    return main.join(beside("request"), "capture_id", "left").join(beside("metadata"), "capture_id", "left")
+    # Parsed records look small to the planner, which only sees the manifest; they must not be broadcast.
+    request, metadata = beside("request").hint("merge"), beside("metadata").hint("merge")
+    return main.join(request, "capture_id", "left").join(metadata, "capture_id", "left")
