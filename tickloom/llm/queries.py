@@ -111,14 +111,14 @@ def oracle_sql() -> dict[str, str]:
               SELECT page_id, first_id, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS hex
               FROM p JOIN g ON p.html = g.html
             ), b AS (
-              SELECT *, list_transform(range(32), i -> (
+              SELECT *, list_transform(range(32), lambda i: (
                 16 * ((instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INT), 1)) - 1))
                 + CASE WHEN 5 * i // 4 + 2 <= 40
                     THEN instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INT), 1)) - 1 ELSE 0 END
               ) >> CAST(3 - (5 * i) % 4 AS INT) & 31) AS fives FROM h
             )
             SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-              list_aggregate(list_transform(fives, v -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+              list_aggregate(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
             FROM b
