@@ -4,14 +4,19 @@ Texts are normalised to lower-case words without marks. A unit (a line, or the w
 matches a template if the Dice coefficient of their sets of word bigrams, twice the common bigrams over the
 sum of the two numbers of bigrams, reaches a threshold ``t``. That is only possible if the unit has between
 ``t / (2 - t)`` and ``(2 - t) / t`` times as many bigrams as the template. So the templates are spread over
-all sizes which they can match, units look up their own size there, and only those pairs are compared; units
-with too few words drop out before any bigram is made.
+all sizes which they can match, units look up their own size there, and only those pairs are compared.
+
+A match also shares at least ``m t / (2 - t)`` of the template's ``m`` bigrams. Of any bigrams of the template,
+one more in number than it may miss, the unit thus has at least one. Such bigrams (the longest of each
+template) form one pattern, and texts without any of them drop out before lines, words and bigrams are made.
 
 All of it is DataFrame code without a shuffle: the table of sizes depends on the templates alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,11 +87,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 THRESHOLD = 0.8
+_IN_WORD = r"[\p{L}\p{N}]"
+_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
     """Lower-case words, anything but letters and digits being a break."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(text), _BREAK, " "))
     return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
@@ -108,6 +115,22 @@ def sizes_of_templates(spark: SparkSession, templates: tuple[tuple[str, str], ..
     return made.where(n > 0).select("*", F.explode(F.sequence(low, high)).alias("n_bigrams"))
 
 
+def needed_pattern(bigrams: list[list[str]], threshold: float) -> str:
+    """A regular expression that finds something in the lower-case form of every unit that matches a template.
+
+    ``bigrams`` has those of each template. One that may miss ``k`` of them contributes its ``k + 1`` longest.
+    """
+    followers: dict[str, set[str]] = {}
+    for pairs in bigrams:
+        may_miss = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)
+        for pair in sorted(pairs, key=lambda pair: (-len(pair), pair))[: may_miss + 1]:
+            first, second = pair.split(" ")
+            followers.setdefault(first, set()).add(second)
+    # Words are letters and digits alone, so nothing in them needs an escape.
+    pairs = (rf"{first}{_BREAK}(?:{'|'.join(sorted(seconds))})" for first, seconds in sorted(followers.items()))
+    return rf"(?<!{_IN_WORD})(?:{'|'.join(pairs)})"
+
+
 def scan(
     docs: DataFrame,
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
@@ -122,13 +145,19 @@ def scan(
     """
     spark = docs.sparkSession
     table = sizes_of_templates(spark, templates, threshold)
-    least = table.agg(F.min("n_bigrams")).first()[0] or 1
+    made = table.select("template", "template_bigrams").distinct().collect()  # the templates
+    if not made:
+        return docs.select(F.col(id_col).alias("doc_id")).where(F.lit(False)).selectExpr(
+            "doc_id", "CAST(0 AS INT) AS line", "CAST(0 AS INT) AS template", "'' AS license", "0D AS dice"
+        )
+    needed = needed_pattern([row.template_bigrams for row in made], threshold)
     text = whole_text(text_col)
-    lines = F.transform(F.split(text, "\n", -1), lambda line, k: F.struct((k + 1).alias("line"), line.alias("unit")))
-    whole = F.when(F.contains(text, F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), text.alias("unit"))))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("at"))
-    units = units.select("doc_id", "at.line", words_of(F.col("at.unit")).alias("words")).where(F.size("words") > least)
-    units = units.select("doc_id", "line", bigrams_of(F.col("words")).alias("bigrams"))
+    possible = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.lower(text).rlike(needed))
+    lines = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct((k + 1).alias("line"), line.alias("unit")))
+    whole = F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"))))
+    units = possible.select("doc_id", F.explode(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("at"))
+    units = units.where(F.lower("at.unit").rlike(needed))
+    units = units.select("doc_id", "at.line", bigrams_of(words_of(F.col("at.unit"))).alias("bigrams"))
     units = units.withColumn("n_bigrams", F.size("bigrams"))
     pairs = units.join(F.broadcast(table), "n_bigrams")  # as many rows as the templates have sizes
     common = F.size(F.array_intersect("bigrams", "template_bigrams"))
