@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, whole_text
+from .common import bounded, file_system, whole_text
 from .token_ids import encoder, with_end
 
 MAGIC = b"IDPLANE1"
@@ -173,9 +173,7 @@ def write_ids(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = stream = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in bounded(whole, 1)):
             if writer is None:
                 context = TaskContext.get()
                 part = context.partitionId()

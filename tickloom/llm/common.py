@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +63,15 @@ def known_join(facts: DataFrame, table: DataFrame, key: str, facts_per_key: str,
     rare = table.where(F.col(facts_per_key) <= many)
     spread = facts.join(F.broadcast(hot), key)
     return spread.unionByName(facts.join(rare, key))
+
+
+def bounded(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices whose texts or bytes in ``column`` are about ``most_bytes`` together.
+
+    A longer one is alone in its slice, or with what came just before it.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)

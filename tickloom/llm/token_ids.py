@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: ASCII marks without the apostrophe, which contractions join to letters.
 MARKS = string.punctuation.replace("'", "")
 #: A worker keeps the ids of so many pieces; beyond, it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 700_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
 SLICE_BYTES = 4 << 20
 
@@ -50,16 +50,22 @@ class Encoder:
         return [array("I", one.ids).tobytes() for one in found]
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [_stem_and_marks(piece) for piece in pieces]
+        found = [self.known.get(piece) for piece in pieces]
+        new = [at for at, ids in enumerate(found) if ids is None]
+        parts = [_stem_and_marks(pieces[at]) for at in new]
         missing = list({part for both in parts for part in both if part not in self.known})
-        if len(self.known) + len(missing) > KEPT_PIECES:
+        if len(self.known) + len(missing) + len(new) > KEPT_PIECES:
             self.known.clear()
             missing = list({part for both in parts for part in both})
-        for at in range(0, len(missing), 20_000):
-            block = missing[at : at + 20_000]
-            self.known.update(zip(block, self.direct(block)))
         known = self.known
-        return [known[both[0]] if len(both) == 1 else known[both[0]] + known[both[1]] for both in parts]
+        for lo in range(0, len(missing), 20_000):
+            block = missing[lo : lo + 20_000]
+            known.update(zip(block, self.direct(block)))
+        for at, both in zip(new, parts):
+            if len(both) == 2:
+                known[pieces[at]] = known[both[0]] + known[both[1]]
+            found[at] = known[pieces[at]]
+        return found
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (one more entry for the end)."""
