@@ -36,6 +36,7 @@ from .components import components
 K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
 LEADERS = 4
 SKETCH = "node LONG, n LONG, bucket LONG"
+_CELLS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,11 +72,15 @@ def labelled_runs(words: np.ndarray, k: int = K) -> np.ndarray:
 
 def order_sketches(runs: np.ndarray, picked: int, seeds: np.ndarray) -> np.ndarray:
     """One hash for each seed: of the labelled runs with the smallest values, in text order."""
-    values = (runs[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
-    values ^= values >> np.uint64(32)
-    values *= _ODD
     picked = min(picked, len(runs))
-    at = np.argpartition(values, picked - 1, axis=1)[:, :picked] if picked < len(runs) else np.tile(np.arange(len(runs)), (len(seeds), 1))
+    at = np.empty((len(seeds), picked), np.int64)
+    step = max(1, _CELLS // max(1, len(runs)))  # so that a very long text takes no more memory than a batch
+    for lo in range(0, len(seeds), step):
+        some = seeds[lo : lo + step, None]
+        values = (runs[None, :] ^ some) * (some | np.uint64(1))
+        values ^= values >> np.uint64(32)
+        values *= _ODD
+        at[lo : lo + step] = np.argpartition(values, picked - 1, axis=1)[:, :picked] if picked < len(runs) else np.arange(len(runs))
     at.sort(axis=1)
     out = seeds.copy()
     for column in range(picked):

@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 
 #: ASCII marks without the apostrophe, which contractions join to letters.
 MARKS = string.punctuation.replace("'", "")
-#: A worker keeps the ids of so many pieces; beyond, it starts anew.
+#: A worker that keeps the ids of more pieces than this starts anew.
 KEPT_PIECES = 700_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Encoder:
@@ -43,74 +43,59 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.joined = spaces == "joined"
         self.known: dict[str, bytes] = {}
+        # Ids of pieces without a space before them.
+        self.heads: dict[str, bytes] = {} if self.joined else self.known
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes, straight from the tokenizer."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in found]
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [self.known.get(piece) for piece in pieces]
-        new = [at for at, ids in enumerate(found) if ids is None]
-        parts = [_stem_and_marks(pieces[at]) for at in new]
-        missing = list({part for both in parts for part in both if part not in self.known})
-        if len(self.known) + len(missing) + len(new) > KEPT_PIECES:
-            self.known.clear()
-            missing = list({part for both in parts for part in both})
-        known = self.known
+    def _encode(self, table: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        missing = [piece for piece in pieces if piece not in table]
         for lo in range(0, len(missing), 20_000):
             block = missing[lo : lo + 20_000]
-            known.update(zip(block, self.direct(block)))
-        for at, both in zip(new, parts):
+            table.update(zip(block, self.direct([lead + piece for piece in block])))
+
+    def _learn(self, table: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Put the ids of all ``pieces``, each with ``lead`` before it, into ``table``."""
+        parts = {piece: _stem_and_marks(piece) for piece in pieces if piece not in table}
+        self._encode(table, {both[0] for both in parts.values()}, lead)
+        self._encode(self.heads, {both[1] for both in parts.values() if len(both) == 2}, "")
+        for piece, both in parts.items():
             if len(both) == 2:
-                known[pieces[at]] = known[both[0]] + known[both[1]]
-            found[at] = known[pieces[at]]
-        return found
+                table[piece] = table[both[0]] + self.heads[both[1]]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (one more entry for the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = pc.binary_length(texts).to_numpy()
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
-        found, bounds, at = [], [np.zeros(1, np.int64)], 0
+        found: list[bytes] = []
         for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
-            if lo < hi:
-                ids, own = self._slice(texts.slice(lo, hi - lo))
-                found.append(ids)
-                bounds.append(own[1:] + at)
-                at += len(ids)
-        return (np.concatenate(found) if found else np.empty(0, np.uint32)), np.concatenate(bounds)
-
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        coded = pc.dictionary_encode(lists.flatten())
-        codes = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        if self.joined:
-            return self._joined(texts, bounds, codes, words)
-        return _gather(self._of_pieces(words), codes, bounds)
-
-    def _joined(self, texts, bounds, codes, words) -> tuple[np.ndarray, np.ndarray]:
-        # The first piece of a text has no space before it; it gets a code of its own.
-        heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
-        unsafe = np.array([not word or word.strip() is not word for word in words], bool)
+            found += self._slice(texts.slice(lo, hi - lo).to_pylist())
+        bounds = np.cumsum([0, *map(len, found)]) // 4
+        return np.frombuffer(b"".join(found), np.uint32), bounds
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) + len(self.heads) > KEPT_PIECES:
+            self.known.clear()
+            self.heads.clear()
+        rows = [text.split(" ") for text in texts]
+        pieces = set().union(*rows)
+        known, heads = self.known, self.heads
+        if not self.joined:
+            self._learn(known, pieces, "")
+            return [b"".join(map(known.__getitem__, row)) for row in rows]
         # Next to other white space a cut at a space is not safe: such texts are encoded whole.
-        whole = np.add.reduceat(unsafe[codes].astype(np.int64), bounds[:-1]) > 0
-        codes[bounds[:-1]] = len(words) + head_codes
-        table = self._of_pieces([" " + word for word in words] + [words[head] for head in heads])
-        if whole.any():
-            rows = np.flatnonzero(whole)
-            pieces = np.diff(bounds)
-            keep = np.repeat(~whole, pieces)
-            keep[bounds[rows]] = True
-            codes[bounds[rows]] = len(table) + np.arange(len(rows))
-            table = table + self.direct(texts.take(pa.array(rows)).to_pylist())
-            codes = codes[keep]
-            pieces[rows] = 1
-            bounds = np.concatenate(([0], np.cumsum(pieces)))
-        return _gather(table, codes, bounds)
+        unsafe = {piece for piece in pieces if not piece or piece.strip() != piece}
+        safe = [unsafe.isdisjoint(row) for row in rows] if unsafe else [True] * len(rows)
+        self._learn(known, pieces - unsafe, " ")
+        self._learn(heads, {row[0] for row in rows} - unsafe, "")
+        whole = iter(self.direct([text for text, cut in zip(texts, safe) if not cut]))
+        return [
+            heads[row[0]] + b"".join(map(known.__getitem__, row[1:])) if cut else next(whole) for row, cut in zip(rows, safe)
+        ]
 
 
 def _stem_and_marks(piece: str) -> tuple[str, ...]:
@@ -122,16 +107,6 @@ def _stem_and_marks(piece: str) -> tuple[str, ...]:
     return (piece,)
 
 
-def _gather(table: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(b"".join(table), np.uint32)
-    lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-    begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    each = lengths[codes]
-    ends = np.cumsum(each)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)
-    return flat[at], np.concatenate(([0], ends))[bounds]
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: str) -> Encoder:
     """One encoder a worker process."""
