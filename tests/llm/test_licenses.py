@@ -39,6 +39,15 @@ def test_nothing_to_find(make_docs):
     docs = make_docs([(1, None), (2, ""), (3, "\n\n"), (4, "word")])
     assert L.scan(docs).count() == 0 and L.scan(docs.where("doc_id > 9")).count() == 0
     assert L.scan(make_docs([(1, "Own words here.")]), templates=(("own", "own words here"),)).first().dice == 1.0
+    none = L.scan(docs, templates=())
+    assert none.columns == L.scan(docs).columns and none.count() == 0
+
+
+def test_needed_pattern_finds_every_way_to_match():
+    pairs = ["a b", "b c", "c d", "d e", "e f"]  # a match misses one of five at most
+    found = re.compile(L.needed_pattern([pairs], 0.8).replace(r"\p{L}\p{N}", "a-z0-9"))
+    assert all(found.search("x " + " ! ".join(p for p in pairs if p != gone)) for gone in pairs)
+    assert not found.search("c d e f")
 
 
 def test_plan_has_no_shuffle_and_no_python(spark, make_docs):
