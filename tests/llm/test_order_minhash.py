@@ -112,6 +112,31 @@ def test_classes_match_brute_force(make_docs, corpus):
     assert all(r.doc_id == r.class_id for r in found if r.kept)
 
 
+def test_a_pair_in_a_crowded_bucket_is_found(make_docs):
+    """Hundreds of texts of one form, over a fifth of whose words differ, and two pairs among them that are close."""
+    rng = random.Random(11)
+    form = [f"f{k}" for k in range(60)]
+    rows = [(k, " ".join(form + [f"v{rng.randrange(10**6)}" for _ in range(40)])) for k in range(1500)]
+    for k in (40, 900):
+        rows.append((5000 + k, rows[k][1].rsplit(" ", 12)[0] + " " + " ".join(f"u{i}" for i in range(12))))
+    found = O.near_duplicates(make_docs(rows), k=60, picked=1, sketches=2).collect()  # all texts in the same buckets
+    assert len({r.class_id for r in found}) == 1500
+    assert sorted(r.doc_id for r in found if r.class_size > 1) == [40, 900, 5040, 5900]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=2, max_size=8), st.sampled_from([0.5, 0.8]))
+def test_the_bound_excludes_no_near_pair(texts, similarity):
+    n = np.array([len(text) for text in texts])
+    bags = np.array([np.bincount(np.array(text) % 4, minlength=O.BINS) for text in texts]).astype(np.uint8)
+    none = np.zeros(len(texts), bool)
+    pairs = set(zip(*map(np.ndarray.tolist, O.possible_pairs(n, np.arange(len(texts)), bags, none.astype(int), none, similarity))))
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            if plain_distance(a, b) <= (1 - similarity) * max(len(a), len(b)):
+                assert (i, j) in pairs
+
+
 def test_dropping_keeps_columns(make_docs, corpus):
     docs = make_docs(corpus)
     left = O.drop_near_copies(docs)

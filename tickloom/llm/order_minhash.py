@@ -14,6 +14,13 @@ distance is at most ``1 - similarity`` of the longer one are linked, and classes
 of the links. As long as a round finds links, another one follows with other leaders, over the buckets which
 then still hold several classes.
 
+Leaders only make the classes few. What they leave open is settled exactly: in every bucket that still holds
+several classes, each two members of different classes are aligned unless a bound excludes them. Members are
+compared in blocks of about ``BLOCK``, within reach of each other's length; the bound is the distance of their
+word counts in ``BINS`` bins, which is never above the edit distance. So every pair of texts that agrees in a
+sketch is in one class, aligned or excluded, however large the bucket. The rows of this step grow with the
+square of the blocks of a bucket.
+
 With 32 sketches of two runs, two texts which share a fraction J of their runs meet in a bucket with
 probability about ``1 - (1 - J^2)^32``: over 0.9999 for J of 0.6 and over 0.99 for 0.4.
 """
@@ -35,6 +42,8 @@ from .components import components
 
 K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
 LEADERS = 4
+#: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs.
+BLOCK, BINS = 1024, 64
 SKETCH = "node LONG, n LONG, bucket LONG"
 _CELLS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,6 +198,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return rows.mapInArrow(lambda batches: _linked(batches, similarity), "a LONG, b LONG, similarity DOUBLE")
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words of each text in each of ``BINS`` bins, up to 255, a byte each."""
+    for batch in batches:
+        rows = [
+            np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+            for words in _word_hashes(batch.column(1))
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "bag"])
+
+
+def possible_pairs(n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.ndarray, guest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that no bound excludes.
+
+    Of each pair one member at least is no guest, and if the block has two parts the members are of different ones.
+    An edit changes each of the two counts of words that only one side has by one at most, and so do bins and
+    the limit of 255 to no more than that.
+    """
+    lefts, rights = [], []
+    bags = bags.astype(np.int16)
+    totals = bags.sum(axis=1, dtype=np.int64)
+    two = part.min() != part.max()
+    for i in np.flatnonzero(~guest):
+        ok = (label != label[i]) & (guest | (np.arange(len(n)) > i))
+        if two:
+            ok &= part != part[i]
+        most = np.floor((1 - similarity) * np.maximum(n, n[i]) + 1e-9)
+        at = np.flatnonzero(ok & (np.abs(n - n[i]) <= most))
+        if not len(at):
+            continue
+        apart = np.abs(bags[at] - bags[i]).sum(axis=1, dtype=np.int64) + np.abs(totals[at] - totals[i])
+        at = at[apart <= 2 * most[at]]
+        lefts.append(np.full(len(at), i))
+        rights.append(at)
+    if not lefts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bounds = batch.column("rows").offsets.to_numpy()
+        flat = batch.column("rows").flatten()
+        column = {name: flat.field(name) for name in ("node", "n", "label", "part", "guest")}
+        node, n, label, part = (column[name].to_numpy() for name in ("node", "n", "label", "part"))
+        guest = column["guest"].to_numpy(zero_copy_only=False)
+        bags = np.frombuffer(b"".join(flat.field("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+        bounds = bounds - bounds[0]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            at = slice(lo, hi)
+            i, j = possible_pairs(n[at], label[at], bags[at], part[at], guest[at], similarity)
+            if len(i):
+                a, b = node[at][i], node[at][j]
+                arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(a, b)`` of different classes that share one of the buckets and that no bound excludes.
+
+    ``members`` has ``bucket, node, n, label``. Buckets with the same members count once. Members are dealt to
+    bands of length, a band as wide as lengths may differ, and each is a guest in the next band; a band with
+    more than ``BLOCK`` rows is divided into parts, and each two parts meet in a block.
+    """
+    same = members.groupBy("bucket").agg(
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n_here")
+    )
+    once = saved(same.groupBy("x", "y", "n_here").agg(F.min("bucket").alias("bucket")).select("bucket", "n_here"), "near-open-buckets")
+    rows = known_join(members, once, "bucket", "n_here", members.count())
+    nodes = saved(rows.select("node").distinct(), "near-open-nodes")
+    bags = saved(texts.join(small(nodes), "node", "left_semi").mapInArrow(_bags, "node LONG, bag BINARY"), "near-bags")
+    # Of two lengths the longer is at most 1 / similarity times the shorter, so their bands are at most one apart.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity) + 1e-9))
+    bands = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
+    rows = rows.select("bucket", "node", "n", "label", F.explode(bands).alias("at")).select("bucket", "node", "n", "label", "at.*")
+    rows = saved(rows, "near-open")
+    cell = F.xxhash64("bucket", "band")
+    sizes = rows.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.sum((~F.col("guest")).cast("int")).alias("own"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = sizes.where("own > 0 AND low <> high").select(cell.alias("cell"), "n_rows")
+    sizes = saved(sizes.groupBy("cell").agg(F.sum("n_rows").alias("n_rows")), "near-open-sizes")
+    rows = known_join(rows.withColumn("cell", cell), sizes, "cell", "n_rows", rows.count())
+    half = BLOCK // 2
+    parts = F.when(F.col("n_rows") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n_rows") / half)).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.join(bags, "node")
+    one = F.struct("node", "n", "label", "part", "guest", "bag")
+    key = [F.col("bucket"), F.col("band"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    blocks = rows.groupBy(*key).agg(F.collect_list(one).alias("rows")).select("rows")
+    # The block of one part alone holds its members once; the block of two parts holds both.
+    found = blocks.mapInArrow(lambda batches: _blocks(batches, similarity), "a LONG, b LONG")
+    return found.distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -254,13 +356,17 @@ def near_duplicates(
         close = longer - shorter <= F.floor((1 - similarity) * longer + 1e-9)
         pairs = pairs.where((F.col("label") != F.col("first.label")) & close)
         pairs = saved(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-        members = members.select("bucket", "node", "n", "members")
+        unsettled, members = members, members.select("bucket", "node", "n", "members")
         found = saved(_verified(pairs, texts, similarity), "near-links")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = saved(components(links), "near-labels")
         turn += 1
+    rest = saved(_open_pairs(unsettled.select("bucket", "node", "n", "label"), texts, similarity), "near-pairs")
+    found = saved(_verified(rest, texts, similarity), "near-links")
+    if not found.isEmpty():
+        labels = saved(components(found if links is None else links.unionByName(found)), "near-labels")
     if labels is None:
         labels = spark.createDataFrame([], "node LONG, label LONG")
     labelled = nodes.drop("text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
