@@ -124,6 +124,43 @@ def test_a_pair_in_a_crowded_bucket_is_found(make_docs):
     assert sorted(r.doc_id for r in found if r.class_size > 1) == [40, 900, 5040, 5900]
 
 
+def spread_edits(rng, words, edits):
+    """The words with so many substitutions, deletions and insertions at random places."""
+    out = list(words)
+    for at in sorted(rng.sample(range(len(words)), edits), reverse=True):
+        kind = rng.randrange(3)
+        out[at : at + 1] = [] if kind == 0 else [f"new{rng.randrange(10**6)}"] if kind == 1 else [out[at], f"new{rng.randrange(10**6)}"]
+    return out
+
+
+@pytest.mark.parametrize("lengths", [range(5, 21), range(21, 200, 9)])
+def test_recall_at_many_edits(make_docs, lengths):
+    """At 10 to 20 % edits, pairs that brute force links are found at the stated rate."""
+    rng = random.Random(17)
+    rows, near = [], []
+    for n in lengths:
+        for share in (0.1, 0.15, 0.2) * 5:
+            base = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            other = spread_edits(rng, base, max(1, int(share * n)))
+            if 0 < plain_distance(base, other) <= 0.2 * max(len(base), len(other)) + 1e-9:
+                near.append(len(rows))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    sizes = {r.doc_id: r.class_size for r in O.near_duplicates(make_docs(rows)).collect()}
+    assert len(near) > 150
+    assert sum(sizes[k] > 1 for k in near) >= O.RECALL * len(near) - 1
+
+
+def test_schemes_meet_with_the_stated_probability():
+    for similarity in (0.7, 0.8, 0.9):
+        ranges = O.schemes(similarity)
+        for longer in range(2, 1000):
+            edits = int((1 - similarity) * longer + 1e-9)
+            low, high, k, picked, sketches = next(r for r in ranges if longer <= r[1])
+            assert low <= longer - edits  # the shorter text has these sketches too
+            if edits:
+                assert 1 - (1 - O.meeting(longer, similarity, k, picked)) ** sketches >= O.RECALL - 1e-3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=2, max_size=8), st.sampled_from([0.5, 0.8]))
 def test_the_bound_excludes_no_near_pair(texts, similarity):

@@ -21,12 +21,18 @@ word counts in ``BINS`` bins, which is never above the edit distance. So every p
 sketch is in one class, aligned or excluded, however large the bucket. The rows of this step grow with the
 square of the blocks of a bucket.
 
-With 32 sketches of two runs, two texts which share a fraction J of their runs meet in a bucket with
-probability about ``1 - (1 - J^2)^32``: over 0.9999 for J of 0.6 and over 0.99 for 0.4.
+Runs, picks and sketches follow from the length of a text and the similarity (:func:`schemes`). ``d`` edits of a
+text of ``n`` words leave at least ``n - k + 1 - k d`` of its runs of ``k`` words; if ``s`` of ``u`` runs of two
+texts are common, a sketch of ``p`` picks agrees with probability ``C(s, p) / C(u, p)`` where the common runs keep
+their order. The most selective runs and picks are taken with which ``MOST_SKETCHES`` sketches or fewer let two
+texts at the threshold meet with probability ``RECALL`` even if the edits are spread evenly, and as many sketches
+as that takes. At 0.8, texts of up to 31 words have sketches of four words, longer ones of three runs of two. A
+text whose partner may fall in the next range has the sketches of both.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +46,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, known_join, saved, small, whole_text
 from .components import components
 
-K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
+SIMILARITY, RECALL, MOST_SKETCHES = 0.8, 0.99, 72
+#: Words of a run and runs picked, from selective to sensitive; and the longest text of the lower range.
+CHOICES = ((5, 2), (3, 2), (2, 3), (1, 4), (1, 3), (1, 2), (1, 1))
+SHORT, FAR = 31, 400
 LEADERS = 4
 #: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs.
 BLOCK, BINS = 1024, 64
@@ -56,7 +65,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_runs(words: np.ndarray, k: int = K) -> np.ndarray:
+def meeting(n: int, similarity: float, k: int, picked: int) -> float:
+    """At least this probability has a sketch to agree for a text of ``n`` words and one with all its edits."""
+    edits = int((1 - similarity) * n + 1e-9)
+    runs = n - k + 1
+    common = runs - k * edits
+    either = 2 * runs - common
+    picked = min(picked, runs)
+    return math.comb(common, picked) / math.comb(either, picked) if common >= picked > 0 else 0.0
+
+
+def schemes(similarity: float, recall: float = RECALL) -> list[tuple[int, int, int, int, int]]:
+    """``shortest, longest, k, picked, sketches`` for each range of lengths.
+
+    Of two texts that may be linked both have the sketches of the range in which the longer one is.
+    """
+    found = []
+    for low, high in ((1, SHORT), (SHORT + 1, 1 << 62)):
+        # From FAR words on the probability changes by less than a hundredth.
+        lengths = range(max(low, 2), min(high, FAR) + 1)
+        best = None
+        for k, picked in CHOICES:
+            # A text without room for an edit only has equal partners, which are one node.
+            least = min((meeting(n, similarity, k, picked) for n in lengths if int((1 - similarity) * n + 1e-9)), default=1.0)
+            needed = 1 if least >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-least)) if least else None
+            if needed and (best is None or needed < best[2]):
+                best = (k, picked, needed)
+            if needed and needed <= MOST_SKETCHES:
+                best = (k, picked, needed)
+                break
+        k, picked, needed = best or (1, 1, MOST_SKETCHES)
+        found.append((max(1, math.ceil(similarity * low - 1e-9)), high, k, picked, needed))
+    return found
+
+
+def labelled_runs(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` word hashes, each with the number of equal runs before it.
 
     A text with fewer words has one run, all of it; one without words has none.
@@ -294,9 +337,9 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
-    k: int = K,
-    picked: int = PICKED,
-    sketches: int = SKETCHES,
+    k: int | None = None,
+    picked: int | None = None,
+    sketches: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -305,7 +348,8 @@ def near_duplicates(
     ``class_id`` is the smallest document id of the class, ``class_size`` its documents, ``class_texts`` its
     different texts; ``kept`` is true for one document of each class. Letter case and white space do not count.
     Texts without words are one class. A null text has no words; null ids rank last; of rows that repeat id and
-    text one is kept. Other columns are ignored; an empty table gives no rows.
+    text one is kept. Other columns are ignored; an empty table gives no rows. ``k``, ``picked`` and ``sketches``
+    replace what :func:`schemes` chooses for every length.
     """
     spark = docs.sparkSession
     plain = F.trim(F.regexp_replace(F.lower(whole_text(text_col)), SPACE, " "))
@@ -315,15 +359,18 @@ def near_duplicates(
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     texts = nodes.select("node", "text").where("text <> ''")
     rng = np.random.default_rng(20_190)
-    seeds = rng.integers(1, 2**63, sketches, dtype=np.uint64)
+    ranges = [(lo, hi, k or k_, picked or p_, sketches or m_) for lo, hi, k_, p_, m_ in schemes(similarity)]
+    ranges = [(lo, hi, k_, p_, rng.integers(1, 2**63, m_, dtype=np.uint64)) for lo, hi, k_, p_, m_ in ranges]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
+            found, sizes, times = [], [], []
             for words in _word_hashes(batch.column(1)):
-                found.append(order_sketches(labelled_runs(words, k), picked, seeds))
+                own = [order_sketches(labelled_runs(words, k), picked, seeds) for lo, hi, k, picked, seeds in ranges if lo <= len(words) <= hi]
+                found += own
                 sizes.append(len(words))
-            each = np.repeat(np.arange(batch.num_rows), sketches)
+                times.append(sum(map(len, own)))
+            each = np.repeat(np.arange(batch.num_rows), times)
             ids = batch.column(0).to_numpy()
             buckets = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
