@@ -35,6 +35,44 @@ def test_scan_matches_brute_force(make_docs, odd_texts):
     assert sorted(((r.doc_id, r.line, r.template, r.license, round(r.dice, 9)) for r in found), key=str) == brute(rows)
 
 
+def brute_runs(text, bigrams_of_template, longest):
+    """The best Dice of all runs of words up to a length."""
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    pairs, best = list(zip(words, words[1:])), 0.0
+    for i in range(len(pairs)):
+        for j in range(i + 1, min(len(pairs), i + longest) + 1):
+            own = set(pairs[i:j])
+            best = max(best, 2 * len(own & bigrams_of_template) / (len(own) + len(bigrams_of_template)))
+    return best
+
+
+def test_wrapped_and_inline_notices_are_found(make_docs):
+    before, after = "Some words of the author stand here first\n" * 20, "\nand code with a license of its own follows" * 20
+    rows = []
+    for k, (_, text) in enumerate(L.TEMPLATES):
+        words = text.split()
+        wrapped = "\n * ".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5))
+        rows += [(k, before + wrapped + after), (100 + k, f"See the notes on this, which are long enough here: {text} Thanks to all who helped with it.")]
+        rows += [(200 + k, before + " ".join(words[len(words) // 5 :])), (300 + k, text + after + "\n" + text.upper() + after)]
+    found = L.scan_windows(make_docs(rows)).collect()
+    best = {}
+    for r in found:
+        assert r.line <= r.last_line and r.license == L.TEMPLATES[r.template][0]
+        best[r.doc_id, r.template] = max(r.dice, best.get((r.doc_id, r.template), 0))
+    for k in range(len(L.TEMPLATES)):
+        assert best[k, k] == 1.0 and best[100 + k, k] == 1.0
+        assert sorted(r.dice for r in found if (r.doc_id, r.template) == (300 + k, k)) == [1.0, 1.0]
+    assert next((r.line, r.last_line) for r in found if (r.doc_id, r.template) == (0, 0)) == (21, 21)
+    for doc_id, text in rows:
+        if doc_id % 100 < 8 or doc_id // 100 == 2 and doc_id != 219:  # the others take long in Python
+            for k, (_, template) in enumerate(L.TEMPLATES[:19]):
+                own = bigrams(template)
+                want = brute_runs(text, own, int(len(own) * 1.5 + 1e-9))
+                assert best.get((doc_id, k), 0) == (want if want >= L.THRESHOLD else 0), (doc_id, k)
+    units = {r.unit for r in L.scan_all(make_docs(rows)).collect()}
+    assert units == {"line", "text", "run"}
+
+
 def test_nothing_to_find(make_docs):
     docs = make_docs([(1, None), (2, ""), (3, "\n\n"), (4, "word")])
     assert L.scan(docs).count() == 0 and L.scan(docs.where("doc_id > 9")).count() == 0
@@ -50,6 +88,17 @@ def test_needed_pattern_finds_every_way_to_match():
     assert not found.search("c d e f")
 
 
+def test_no_runs_without_templates(make_docs):
+    docs = make_docs([(1, None), (2, ""), (3, "\n\n"), (4, "word")])
+    assert L.scan_all(docs).count() == 0 and L.scan_all(docs, templates=()).count() == 0
+
+
+def test_plan_of_runs_has_no_shuffle_and_no_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = L.scan_all(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_plan_has_no_shuffle_and_no_python(spark, make_docs):
     plan = L.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -10,6 +10,9 @@ A match also shares at least ``m t / (2 - t)`` of the template's ``m`` bigrams.
 one more in number than it may miss, the unit thus has at least one. Such bigrams (the longest of each
 template) form one pattern, and texts without any of them drop out before lines, words and bigrams are made.
 
+Paragraphs wrapped over lines and notices inside longer lines are found by :func:`scan_windows`, which compares
+every run of words of an admissible size with the templates, across line ends.
+
 All of it is DataFrame code without a shuffle: the table of sizes depends on the templates alone.
 """
 
@@ -163,3 +166,81 @@ def scan(
     common = F.size(F.array_intersect("bigrams", "template_bigrams"))
     dice = 2.0 * common / (F.col("n_bigrams") + F.size("template_bigrams"))
     return pairs.select("doc_id", "line", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+
+
+def scan_windows(
+    docs: DataFrame,
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row for each place and template that match: ``doc_id, line, last_line, template, license, dice``.
+
+    Units are all runs of words with as many bigrams as can match the template, wherever lines end. The best run
+    from each beginning counts, and of those that overlap the better one, then the earlier, then the shorter.
+    A run that does not begin and end with a bigram of the template is never better than without its ends, and
+    one with fewer such bigrams than a match shares cannot match, so only the other runs are compared.
+    """
+    spark = docs.sparkSession
+    table = sizes_of_templates(spark, templates, threshold).groupBy("template", "license", "template_bigrams")
+    table = table.agg(F.max("n_bigrams").alias("longest"))
+    made = table.collect()  # the templates
+    if not made:
+        return docs.select(F.col(id_col).alias("doc_id")).where(F.lit(False)).selectExpr(
+            "doc_id", "CAST(0 AS INT) AS line", "CAST(0 AS INT) AS last_line", "CAST(0 AS INT) AS template", "'' AS license", "0D AS dice"
+        )
+    needed = needed_pattern([row.template_bigrams for row in made], threshold)
+    least = [(row.template, row.license, row.template_bigrams, row.longest, math.ceil(len(row.template_bigrams) * threshold / (2 - threshold) - 1e-9)) for row in made]
+    table = spark.createDataFrame(least, "template INT, license STRING, template_bigrams ARRAY<STRING>, longest INT, least INT")
+    text = whole_text(text_col)
+    possible = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.lower(text).rlike(needed))
+    lines = F.transform(F.split("text", "\n", -1), lambda line, k: F.transform(words_of(line), lambda word: F.struct((k + 1).alias("line"), word.alias("word"))))
+    # Exploded, an array of one is made once a text.
+    words = possible.select("doc_id", F.explode(F.array(F.flatten(lines))).alias("words"))
+    count = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, count), F.slice("words", 2, count), lambda a, b: F.concat_ws(" ", a["word"], b["word"]))
+    words = words.select("doc_id", F.col("words.line").alias("lines"), F.explode(F.array(pairs)).alias("pairs"))
+    both = words.join(F.broadcast(table), F.arrays_overlap("pairs", "template_bigrams"))
+    hits = F.transform("pairs", lambda pair, k: F.when(F.array_contains("template_bigrams", pair), k))
+    both = both.select("*", F.explode(F.array(F.filter(hits, lambda k: k.isNotNull()))).alias("hits")).where(F.size("hits") >= F.col("least"))
+
+    def run(begin: Column, end: Column) -> Column:
+        unit = F.array_distinct(F.slice("pairs", begin + 1, end - begin + 1))
+        dice = 2.0 * F.size(F.array_intersect(unit, F.col("template_bigrams"))) / (F.size(unit) + F.size("template_bigrams"))
+        return F.struct((-dice).alias("order"), begin.alias("begin"), end.alias("end"))
+
+    near = lambda begin, end: end - begin < F.col("longest")
+    begins = F.filter(
+        F.transform("hits", lambda hit, k: F.struct(hit.alias("begin"), k.alias("k"))),
+        lambda at: near(at["begin"], F.get("hits", at["k"] + F.col("least") - 1)),
+    )
+    both = both.select("*", F.explode(F.array(begins)).alias("begins")).where(F.size("begins") > 0)
+    best = F.transform(
+        "begins",
+        lambda at: F.array_min(
+            F.transform(
+                F.filter(F.slice("hits", at["k"] + F.col("least"), F.col("longest")), lambda end: near(at["begin"], end)),
+                lambda end: run(at["begin"], end),
+            )
+        ),
+    )
+    both = both.select("doc_id", "lines", "template", "license", F.explode(F.array(F.sort_array(F.filter(best, lambda r: -r["order"] >= threshold)))).alias("runs"))
+    none = F.slice("runs", 1, 0)
+    apart = lambda taken, r: ~F.exists(taken, lambda x: (x["begin"] <= r["end"]) & (r["begin"] <= x["end"]))
+    taken = F.aggregate("runs", none, lambda taken, r: F.when(apart(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
+    found = both.where(F.size("runs") > 0).select("doc_id", "lines", "template", "license", F.explode(taken).alias("run"))
+    return found.select(
+        "doc_id", F.get("lines", F.col("run.begin")).alias("line"), F.get("lines", F.col("run.end") + 1).alias("last_line"), "template", "license", (-F.col("run.order")).alias("dice")
+    )
+
+
+def scan_all(docs: DataFrame, **options) -> DataFrame:
+    """Matches of :func:`scan` (``unit`` is ``line`` or ``text``) and of :func:`scan_windows` (``run``).
+
+    ``unit, doc_id, line, last_line, template, license, dice``; a line that matches shows a run too.
+    """
+    kind = F.when(F.col("line") > 0, "line").otherwise("text").alias("unit")
+    units = scan(docs, **options).select(kind, "doc_id", "line", F.col("line").alias("last_line"), "template", "license", "dice")
+    runs = scan_windows(docs, **options).select(F.lit("run").alias("unit"), "doc_id", "line", "last_line", "template", "license", "dice")
+    return units.unionByName(runs)

@@ -76,8 +76,8 @@ def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = licenses.scan(table(spark, folder, "documents"))
-    return found.select("doc_id", "line", "template", "license", F.round("dice", 9).alias("dice"))
+    found = licenses.scan_all(table(spark, folder, "documents"))
+    return found.select("doc_id", "unit", "line", "last_line", "template", "license", F.round("dice", 9).alias("dice"))
 
 
 def queries() -> dict[str, Query]:
