@@ -15,7 +15,7 @@ from tickloom.session import scratch_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified cutoffs let pass."""
-    return risk_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return risk_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), joint=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

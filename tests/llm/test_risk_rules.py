@@ -101,3 +101,29 @@ def test_without_labels_or_rows(spark, make_docs):
     docs = make_docs([(1, "one two three four five six seven eight nine ten *** ***", "en"), (2, "short", None)])
     assert {r.doc_id: r.kept for r in R.judge(docs, none).collect()} == {1: True, 2: False}
     assert R.judge(docs.where("doc_id > 5"), none).count() == 0
+
+
+def test_default_parameters_reject_junk_of_sf01(spark):
+    """The symbols of junk are rejected in every language that has some hundreds of good labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    judged = R.judge(docs, labels, joint=True).where("NOT base_failed").cache()
+    junk = judged.where("counts.n_symbols >= 0.15 * counts.word_chars")
+    assert junk.where("NOT kept").count() >= 0.9 * junk.count() > 100
+    good = judged.join(labels.groupBy("doc_id").agg({"quality": "min"}).where("`min(quality)` = 1"), "doc_id")
+    for row in good.groupBy("stratum").agg({"kept": "count", "*": "count"}).collect():
+        lost = good.where((good.stratum == row.stratum) & ~good.kept).count()
+        assert lost <= 0.02 * row["count(kept)"]
+
+
+def test_joint_steps_hold_the_bound(spark, make_docs, corpus):
+    """At the default risk, also the smaller strata get their cutoffs; a stratum of a hundred does not."""
+    rows, labels = corpus
+    marked = spark.createDataFrame(labels, "doc_id LONG, quality INT, toxic INT")
+    judged = {r.doc_id: r.kept for r in R.judge(make_docs(rows), marked, joint=True).collect()}
+    good = {i for i, quality, _ in labels if quality}
+    assert all(judged[i] for i in good) and not any(judged[i] for i in range(2900) if i not in good)
+    assert all(judged[i] for i in range(2900, 3000))
+    kept = {r.doc_id for r in R.keep_good(make_docs(rows), marked, joint=True).collect()}
+    assert kept == {i for i, keep in judged.items() if keep}
+    none = spark.createDataFrame([], "doc_id LONG, quality INT, toxic INT")
+    assert R.judge(make_docs(rows[:5]), none, joint=True).where("kept").count() == 5

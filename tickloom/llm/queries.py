@@ -35,7 +35,7 @@ def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = risk_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    judged = risk_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), joint=True)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *[f"counts.{name}" for name in names], "base_failed", "kept")
 

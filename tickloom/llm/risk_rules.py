@@ -10,7 +10,17 @@ together, whichever certified cutoffs are taken. Of a rule's certified cutoffs t
 most: rejected share of bad documents less ``cost`` times that of good ones; a rule without a gain, or
 without enough labels to certify anything, stays off in that stratum.
 
-The grids and the measures are fixed beforehand and nothing else is fitted, so all labels serve as holdout.
+For that, the grids and the measures are fixed beforehand and nothing else is fitted, so all labels serve as
+holdout. It takes thousands of good labels a stratum at a small risk.
+
+:func:`joint_cutoffs` spends risk and delta better and is what the queries use. A fixed quarter of the good labels
+and all bad ones, which say nothing of false rejections, lay out a path for each stratum: rules by falling gain,
+each from its most lenient useful cutoff to that of the best gain, on top of the rules before. So each step rejects
+all that the step before does. The other good labels then test the steps in that order, each for the documents
+that any of its rules rejects, against the whole ``risk`` and at ``delta / strata``, up to the first that fails.
+Such a fixed sequence needs no division by its length: a first false step would have to pass, which it does with
+probability ``delta / strata`` at most. At a risk of 2 % and four strata, 217 good labels without a false rejection
+are enough for a step.
 Statistics cover all labelled documents, measures cover whole texts.
 """
 
@@ -198,6 +208,79 @@ def certified_cutoffs(
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
+def joint_cutoffs(
+    measured: DataFrame,
+    labels: DataFrame,
+    risk: float = 0.02,
+    delta: float = 0.05,
+    cost: float = 10.0,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """Like :func:`certified_cutoffs`, by a fixed sequence of joint rule sets.
+
+    Labels belong to the path or to the tests by a hash of the id.
+    """
+    spark = measured.sparkSession
+    judged = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("good"))
+    level = [sum((_measure(formula, "counts") >= c).cast("int") for c in grid).alias(name) for name, (formula, grid) in RULES.items()]
+    part = F.pmod(F.xxhash64(F.lit("path"), F.col(id_col)), F.lit(4)) == 0
+    held = measured.where(~base_failed()).join(judged, id_col).select("stratum", "good", part.alias("path"), *level)
+    # A row for each stratum and rule and cutoff at most, and for each combination of levels that occurs.
+    held = saved(held, "judged-levels")
+    strata = max(1, held.select("stratum").distinct().count())
+    first = held.where("path OR good = 0")
+    levels = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("level")) for name in RULES])
+    seen = first.select("stratum", "good", F.explode(levels).alias("at")).groupBy("stratum", "at.rule", "at.level")
+    seen = seen.agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    # A stratum's rows are at most one a cutoff and rule.
+    rows = seen.groupBy("stratum").applyInPandas(lambda group: _path(group, cost), "stratum STRING, step INT, rule STRING, level INT")
+    path = saved(rows, "path")
+    steps = path.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("step", "rule", "level"))).alias("steps"))
+    own = F.create_map(*[x for name in RULES for x in (F.lit(name), F.col(name))])
+    tested = held.where("NOT path AND good = 1").join(small(steps), "stratum")
+    hit = F.filter("steps", lambda step: F.element_at(F.col("own"), step["rule"]) >= step["level"])
+    tested = tested.select("stratum", "steps", own.alias("own")).select("stratum", F.coalesce(F.get(hit, F.lit(0))["step"], F.lit(-1)).alias("step"))
+    counted = tested.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
+    both = path.withColumn("n", F.lit(0).cast("long")).unionByName(counted, allowMissingColumns=True)
+    return both.groupBy("stratum").applyInPandas(
+        lambda group: _accepted(group, risk, delta / strata), "stratum STRING, cutoffs MAP<STRING, DOUBLE>"
+    )
+
+
+def _path(group: pd.DataFrame, cost: float) -> pd.DataFrame:
+    """The steps of a stratum: rules by falling gain, each from lenient to the cutoff of the best gain."""
+    found = []
+    for rule, rows in group.groupby("rule"):
+        n_good, n_bad = rows["good"].sum(), rows["bad"].sum()
+        if not n_bad:
+            continue
+        cells = []
+        for level in range(1, len(RULES[rule][1]) + 1):
+            beyond = rows[rows["level"] >= level]
+            caught, false = beyond["bad"].sum(), beyond["good"].sum()
+            if caught:
+                cells.append((caught / n_bad - cost * (false / n_good if n_good else 0.0), level))
+        best = max(cells, default=(0.0, 0))
+        if best[0] > 0:
+            found.append((-best[0], rule, [level for _, level in cells[::-1] if level >= best[1]]))
+    steps = [(rule, level) for _, rule, levels in sorted(found) for level in levels]
+    out = pd.DataFrame(steps, columns=["rule", "level"])
+    return out.assign(stratum=group["stratum"].iloc[0], step=range(len(out)))[["stratum", "step", "rule", "level"]]
+
+
+def _accepted(group: pd.DataFrame, risk: float, delta: float) -> pd.DataFrame:
+    """The cutoffs of the last step before the first that fails."""
+    steps = group[group["rule"].notna()].sort_values("step")
+    counted = group[group["rule"].isna()]
+    n_good, cutoffs = int(counted["n"].sum()), {}
+    for step, rule, level in zip(steps["step"], steps["rule"], steps["level"]):
+        false = int(counted.loc[(counted["step"] >= 0) & (counted["step"] <= step), "n"].sum())
+        if binomial_tail(false, n_good, risk) > delta:
+            break
+        cutoffs[rule] = RULES[rule][1][int(level) - 1]
+    return pd.DataFrame({"stratum": [group["stratum"].iloc[0]], "cutoffs": [cutoffs]})
+
+
 def verdict(counts: str = "counts", cutoffs: str = "cutoffs") -> Column:
     """True unless the base or one of the stratum's rules rejects."""
     rejected = base_failed(counts)
@@ -215,11 +298,12 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
+    joint: bool = False,
 ) -> DataFrame:
     """One row a document: ``id_col, stratum, counts, base_failed, kept``.
 
     A null text is empty and fails the base. A null stratum and an empty one are the same. Without labels the
-    base alone decides. Other columns are ignored; an empty table gives no rows.
+    base alone decides. ``joint`` takes :func:`joint_cutoffs`. Other columns are ignored; an empty table gives no rows.
     """
     measured = saved(
         docs.select(
@@ -227,17 +311,18 @@ def judge(
         ),
         "text-counts",
     )
-    cutoffs = saved(certified_cutoffs(measured, labels, risk, delta, id_col=id_col), "cutoffs")
+    certify = joint_cutoffs if joint else certified_cutoffs
+    cutoffs = saved(certify(measured, labels, risk, delta, id_col=id_col), "cutoffs")
     joined = measured.join(small(cutoffs), "stratum", "left")
     return joined.select(id_col, "stratum", "counts", base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, joint: bool = False) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
     measured = saved(
         docs.select("doc_id", _stratum("lang").alias("stratum"), text_counts(whole_text()).alias("counts")), "text-counts"
     )
-    cutoffs = saved(certified_cutoffs(measured, labels, risk, delta), "cutoffs")
+    cutoffs = saved((joint_cutoffs if joint else certified_cutoffs)(measured, labels, risk, delta), "cutoffs")
     lookup = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
     # The counts are taken again instead of being joined: the texts then need no shuffle.
     rows = docs.withColumn("_stratum", _stratum("lang")).join(small(lookup), "_stratum", "left")
