@@ -366,16 +366,16 @@ def _installed(module: str) -> bool:
 
 
 def _corpus_queries() -> dict[str, Query]:
-    """Queries of the training-data operators, where that subpackage is installed."""
+    """Queries of the training-data operators and of the pipeline made of them, where that subpackage is installed."""
     found: dict[str, Query] = {}
     if _installed("tickloom.llm"):
         from tickloom.llm import queries as corpus
 
         found |= corpus.queries()
-    if _installed("corpus_pipeline"):
-        import corpus_pipeline
+        if _installed("corpus_pipeline"):
+            import corpus_pipeline
 
-        found["pipeline"] = corpus_pipeline.run
+            found["pipeline"] = corpus_pipeline.run
     return found
 
 
@@ -385,11 +385,11 @@ def _corpus_sql() -> dict[str, str]:
         from tickloom.llm import queries as corpus
 
         found |= corpus.oracle_sql()
-    if _installed("corpus_pipeline"):
-        import corpus_pipeline
+        if _installed("corpus_pipeline"):
+            import corpus_pipeline
 
-        if corpus_pipeline.ORACLE_SQL is not None:
-            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+            if corpus_pipeline.ORACLE_SQL is not None:
+                found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
 
 
