@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import scratch_path
 
-from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm, risk_rules, warc
+from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm, risk_rules, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,11 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "unit", "line", "last_line", "template", "license", F.round("dice", 9).alias("dice"))
 
 
+def op11_pivotal_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.runs(table(spark, folder, "documents"))
+    return spelling.variants(spelling.counted(spelling.with_slips(runs)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bm25_packing": op1_bm25_packing,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_warc_captures": op8_warc_captures,
         "op9_ppm": op9_ppm,
         "op10_license_scan": op10_license_scan,
+        "op11_pivotal_spelling": op11_pivotal_spelling,
     }
 
 
@@ -123,4 +129,44 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
             FROM b
         """,
+        "op11_pivotal_spelling": """
+            WITH RECURSIVE runs AS (
+              SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+            ), once AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run),
+            fours AS (
+              SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, z:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+            ), hexed AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM once),
+            halves AS (
+              SELECT doc_id, run, c, list_transform(range(length(x)), lambda k: CAST(
+                instr('0123456789ABCDEF', substr(x, CAST(k - k % 2 + 2 - k % 2 AS INT), 1)) - 1 AS BIGINT)) AS b FROM hexed
+            ), checked AS (
+              SELECT doc_id, run, c, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda h, v:
+                xor(step[CAST((xor(h, v) & 15) + 1 AS INT)], h >> 4))) AS h FROM halves, fours
+            ), slipped AS (
+              SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) + 2 AS INT))
+                ELSE run END AS word FROM checked
+            ), words AS (
+              SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+            ), without AS (
+              SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i + 2 AS INT)) AS rest
+              FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+            ), pairs AS (
+              SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+              UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word
+            ), ranked AS (
+              SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r
+              FROM pairs
+            ), judged AS (
+              SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+                CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+              FROM words w LEFT JOIN ranked k ON k.word = w.word AND k.r = 1
+            ), chain AS (
+              SELECT word, word AS root, 0 AS steps FROM judged
+              UNION ALL SELECT chain.word, j.form, steps + 1 FROM chain JOIN judged j ON j.word = chain.root WHERE j.form IS NOT NULL
+            ), ends AS (SELECT word, max_by(root, steps) AS root FROM chain GROUP BY word)
+            SELECT j.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged j JOIN ends e ON e.word = j.word
+        """,
     }
