@@ -6,9 +6,9 @@ the third); dynamic programming picks from it the two disjoint bigrams, the pivo
 edit leaves one of two disjoint bigrams whole. So if two words are near, a pivot of the one whose prefix ends
 earlier in the order is also in the prefix of the other (Deng, Li, Feng: A Pivotal Prefix Based Filtering
 Algorithm for String Similarity Search, SIGMOD 2014), and pivots are looked up among prefixes, never words among
-words. The positions are limited as far as they can be: an edit behind a pivot leaves the word up to the pivot as
-it was, an edit before it the word from the pivot on, so pivots and prefix bigrams meet under what they end or
-begin. What meets is verified inside the join.
+words. Positions are limited: a pivot meets a prefix bigram at the same place, counted from the front or from the
+back, in words of the lengths that one edit allows, and only together with the half of the word that the edit
+spares. So few words meet, however many share a bigram; what meets is verified inside the join.
 
 Null texts have no words; a null id is written as nothing. Equal rows count as often as they come. Words of fewer
 than four code points have no two disjoint bigrams in three: they keep their row and have no near words. An empty
@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,37 +102,76 @@ def _gram_counts(counts: DataFrame) -> dict[str, int]:
     return {row["gram"]: row["n"] for row in rows.collect()}
 
 
+def found_under(word: str, places: list[int]) -> Iterator[tuple]:
+    """The keys under which a word is found: a half of it, and a gram of its prefix with its place."""
+    size = len(word)
+    half = size // 2
+    for at in places:
+        gram = word[at : at + _GRAM]
+        yield size, "front", word[:half], at, gram
+        yield size, "back", word[half:], at - size, gram
+        if at >= half:
+            yield size, "front", word[:half], at - size, gram
+        if at <= half - 2:
+            yield size, "back", word[half:], at, gram
+
+
+def looked_up(word: str, i: int, j: int) -> Iterator[tuple[tuple, int]]:
+    """The keys under which the near words of a word with pivots at i and j are found.
+
+    Near words share all but one code point from the two ends together, so they share the front half or the back
+    half of the other word. Of the two pivots one that the edit spares is looked up with it, at its place from the
+    front if the edit is behind it, else at its place from the back. With each key comes a cut of the word inside
+    the other half: a near word begins with what is before the cut or ends with what is behind it.
+    """
+    size = len(word)
+    for other in (size - 1, size, size + 1):
+        half = other // 2
+        front, back = word[:half], word[size - (other - half) :]
+        first, second = word[i : i + _GRAM], word[j : j + _GRAM]
+        behind, before = (half + size) // 2, (size - len(back)) // 2
+        yield (other, "front", front, i, first), behind
+        if i + _GRAM > half:
+            yield (other, "front", front, j - size, second), behind
+        yield (other, "back", back, j - size, second), before
+        if size - j > other - half:
+            yield (other, "back", back, i, first), before
+
+
 def _keys(counts: DataFrame) -> DataFrame:
-    """``word, n, key, pivot``: the parts of each word that end or begin with a gram of its prefix."""
+    """``word, n, key, head, tail``: the hashed keys each word asks for, and, without head, is found under."""
     held = counts.sparkSession.sparkContext.broadcast(_gram_counts(counts))
-    schema = "word STRING, n LONG, key STRING, pivot BOOLEAN"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"word": [], "n": [], "key": [], "pivot": []}
+            rows: list[tuple] = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chosen, places = pivotal_grams(word, held.value)
-                for at in places:
-                    # An edit behind the gram leaves what ends with it, an edit before it what begins with it.
-                    for key in ("<" + word[: at + _GRAM], ">" + word[at:]):
-                        out["word"].append(word)
-                        out["n"].append(n)
-                        out["key"].append(key)
-                        out["pivot"].append(at in chosen)
-            yield pa.RecordBatch.from_pydict(out, schema=_KEYS)
+                if chosen:
+                    rows += [(word, n, _hashed(key), None, None) for key in found_under(word, places)]
+                    rows += [(word, n, _hashed(key), word[:cut], word[cut:]) for key, cut in looked_up(word, *chosen)]
+            columns = list(zip(*rows)) or [()] * len(_KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEYS)], schema=_KEYS)
+
+    return counts.select("word", "n").mapInArrow(part, "word STRING, n LONG, key LONG, head STRING, tail STRING")
+
 
-    return counts.select("word", "n").mapInArrow(part, schema)
+def _hashed(key: tuple) -> int:
+    # Different keys with one hash only bring words together that are then found not to be near.
+    return xxhash.xxh64_intdigest(repr(key)) - (1 << 63)
 
 
-_KEYS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("key", pa.string()), ("pivot", pa.bool_())])
+_KEYS = pa.schema(
+    [("word", pa.string()), ("n", pa.int64()), ("key", pa.int64()), ("head", pa.string()), ("tail", pa.string())]
+)
 
 
 def near_pairs(counts: DataFrame) -> DataFrame:
     """``word, n, other, other_n``: every two near words, in either order. ``counts`` has one row a word."""
     keys = saved(_keys(counts), "pivotal-grams")
-    mine = keys.where("pivot").select("key", "word", "n")
-    theirs = keys.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    near = F.levenshtein("word", "other", _EDITS) == _EDITS
+    mine = keys.where("head IS NOT NULL")
+    theirs = keys.where("head IS NULL").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    near = (F.startswith("other", "head") | F.endswith("other", "tail")) & (F.levenshtein("word", "other", _EDITS) == _EDITS)
     found = mine.join(theirs, (mine["key"] == theirs["key"]) & near).select("word", "n", "other", "other_n")
     # A pair may be found from either side and under several grams.
     back = F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
