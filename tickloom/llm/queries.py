@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.session import scratch_path
 
-from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm, risk_rules, spelling, warc
+from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm
+from . import projected_neighbours, risk_rules, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +86,11 @@ def op11_pivotal_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.counted(spelling.with_slips(runs)))
 
 
+def op13_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return projected_neighbours.neighbours(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bm25_packing": op1_bm25_packing,
@@ -98,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op9_ppm": op9_ppm,
         "op10_license_scan": op10_license_scan,
         "op11_pivotal_spelling": op11_pivotal_spelling,
+        "op13_projected_neighbours": op13_projected_neighbours,
     }
 
 
