@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import scratch_path
 
-from . import bitplanes, bm25_packing, grace_dedup, html_model, licenses, mixing, order_minhash, ppm
+from . import bitplanes, bm25_packing, collocations, grace_dedup, html_model, licenses, mixing, order_minhash, ppm
 from . import projected_neighbours, risk_rules, spelling, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op11_pivotal_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.counted(spelling.with_slips(runs)))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return projected_neighbours.neighbours(vectors.where("vec_id % 50 = 0"), vectors)
@@ -104,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op9_ppm": op9_ppm,
         "op10_license_scan": op10_license_scan,
         "op11_pivotal_spelling": op11_pivotal_spelling,
+        "op12_collocations": op12_collocations,
         "op13_projected_neighbours": op13_projected_neighbours,
     }
 
@@ -176,4 +181,33 @@ def oracle_sql() -> dict[str, str]:
             ), ends AS (SELECT word, max_by(root, steps) AS root FROM chain GROUP BY word)
             SELECT j.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged j JOIN ends e ON e.word = j.word
         """,
+        "op12_collocations": """
+            WITH pieces AS (
+              SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+            ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+            grams AS (
+              SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+              FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS size))
+            ), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+            totals AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+            c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+            cuts AS (
+              SELECT lang, size, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : size], ' ') AS y
+              FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+            ), scored AS (
+              SELECT t.lang, t.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS score
+              FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = t.x JOIN f y ON y.lang = t.lang AND y.phrase = t.y
+              QUALIFY row_number() OVER (PARTITION BY t.lang, t.phrase ORDER BY score, k) = 1
+            ), inside AS (
+              SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
+              FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM c)) GROUP BY 1, 2
+            ), ranked AS (
+              SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+              FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+              WHERE longer IS NULL OR 100 * longer < 80 * a
+            )
+            SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+            FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+        """,
     }
