@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import oracles
 from tickloom.functions import columns as C
 from tickloom.functions.stepper import IndicatorSpec
-from tickloom.operators import normalize, reshape, retain, routing, summary, validate
+from tickloom.operators import normalize, reshape, retain, routing, summary, timelines, validate
 from tickloom.operators.enrich import enrich, session_vwap, with_signals
 from tickloom.operators.indicators import with_indicators
 from tickloom.operators.pieces import HotSplit
@@ -215,6 +215,35 @@ def _routed(spark: SparkSession, folder: str, broadcast_rows: int = routing.BROA
     return _per_client(routing.route_ticks(ticks, targets, broadcast_rows))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """A table that is used more than once, written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _routed_in_time(spark: SparkSession, folder: str, broadcast_rows: int = routing.BROADCAST_ROWS, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Ticks to the clients that held their ticker, or nothing, when they came."""
+    timeline = _stored(timelines.timelines(_stored(_log(spark, folder), "log"), broadcast_rows), "timelines")
+    ticks = _valid(spark, folder)
+    return _per_client(timelines.route_in_time(ticks, timeline, broadcast_rows=broadcast_rows, rows_per_task=rows_per_task))
+
+
+def _timelines(spark: SparkSession, folder: str) -> DataFrame:
+    held = timelines.timelines(_stored(_log(spark, folder), "log"))
+    # What still lasts has no end; as DOUBLE its number reads alike on both sides.
+    return _out(
+        held.select(
+            "client_id",
+            "ticker",
+            F.col("since.ts").alias("since_ts"),
+            F.col("since.seq").alias("since_seq"),
+            F.col("until.ts").alias("until_ts"),
+            F.col("until.seq").cast("double").alias("until_seq"),
+        )
+    )
+
+
 def _log(spark: SparkSession, folder: str) -> DataFrame:
     _ticks(spark, folder)
     return fixtures.subscription_log(read_events(spark, folder))
@@ -336,8 +365,11 @@ def queries() -> dict[str, Query]:
         "subscription_lists": lambda s, d: routing.subscription_lists(_log(s, d)).select(
             "client_id", F.array_join("tickers", ",").alias("tickers")
         ),
-        "routed_ticks": _routed,
-        "routed_ticks_salted": lambda s, d: _routed(s, d, broadcast_rows=0),
+        "subscription_timelines": _timelines,
+        "routed_ticks": _routed_in_time,
+        "routed_ticks_salted": lambda s, d: _routed_in_time(s, d, broadcast_rows=0, rows_per_task=10),
+        "routed_by_final_sets": _routed,
+        "routed_by_final_sets_salted": lambda s, d: _routed(s, d, broadcast_rows=0),
         # batch workloads
         "candles_1h": lambda s, d: _out(candles(_ticks(s, d), "1h")),
         "candles_1m": lambda s, d: _out(candles(_ticks(s, d), "1m")),

@@ -302,6 +302,45 @@ subscribed AS (SELECT client_id, ticker FROM
     (SELECT client_id, ticker, arg_max(action, (ts, seq)) AS action FROM pairs GROUP BY client_id, ticker) WHERE action = 'subscribe')"""
 
 
+# Every client at every moment its log names: the set that the actions up to then leave, and when the next one comes.
+STATES = f"""moments AS (SELECT user_id, client_id, ts, seq FROM log WHERE {CONNECTED} AND action IS NOT NULL AND tickers IS NOT NULL
+  UNION ALL SELECT user_id, client_id, min(ts) - INTERVAL 1 SECOND, -1 FROM log WHERE {CONNECTED} GROUP BY ALL
+  UNION ALL SELECT -1, unnest(['w0', 'w1']), min(ts), -1 FROM log),
+closes AS (SELECT client_id, max(ts) + INTERVAL 1 SECOND AS ts, -2 AS seq FROM log WHERE user_id % 7 = 3 GROUP BY client_id),
+named AS (SELECT client_id, action, unnest(tickers) AS ticker, ts, seq FROM log WHERE {CONNECTED} AND action IS NOT NULL AND tickers IS NOT NULL),
+latest AS (SELECT m.client_id, m.ts, m.seq, n.ticker, arg_max(n.action, (n.ts, n.seq)) AS action
+  FROM moments m JOIN named n ON n.client_id = m.client_id AND (n.ts, n.seq) <= (m.ts, m.seq) GROUP BY ALL),
+states AS (SELECT m.client_id, m.ts, m.seq, coalesce(list(l.ticker) FILTER (l.action = 'subscribe'), []) AS held
+  FROM moments m LEFT JOIN latest l USING (client_id, ts, seq) GROUP BY m.client_id, m.ts, m.seq),
+spells AS (SELECT s.client_id, s.ts, s.seq, held,
+    coalesce(lead(s.ts) OVER w, c.ts) AS end_ts, coalesce(lead(s.seq) OVER w, c.seq) AS end_seq
+  FROM states s LEFT JOIN closes c USING (client_id) WINDOW w AS (PARTITION BY s.client_id ORDER BY s.ts, s.seq))"""
+
+
+def routed_in_time() -> str:
+    return (
+        with_(RAW, VALID, LOG, STATES)
+        + """SELECT s.client_id, t.ticker, count(*) AS ticks, min(t.seq) AS first_seq, max(t.seq) AS last_seq
+FROM valid t JOIN spells s ON s.ts <= t.ts AND (s.end_ts IS NULL OR t.ts <= s.end_ts)
+  AND (s.ts, s.seq) <= (t.ts, t.seq) AND (s.end_ts IS NULL OR (t.ts, t.seq) < (s.end_ts, s.end_seq))
+WHERE len(held) = 0 OR list_contains(held, t.ticker)
+GROUP BY s.client_id, t.ticker"""
+    )
+
+
+def subscription_timelines() -> str:
+    """From the states: a spell of a ticker begins where the state before did not hold it and ends where one does not."""
+    return (
+        with_(RAW, LOG, STATES)
+        + """, held AS (SELECT client_id, ts, seq, unnest(CASE WHEN len(held) = 0 THEN [NULL] ELSE held END) AS ticker,
+    row_number() OVER (PARTITION BY client_id ORDER BY ts, seq) AS n, end_ts, end_seq FROM spells),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY client_id, ticker ORDER BY n) AS run FROM held)
+SELECT client_id, ticker, min(ts) AS since_ts, arg_min(seq, n) AS since_seq,
+  arg_max(struct_pack(v := end_ts), n).v AS until_ts, CAST(arg_max(struct_pack(v := end_seq), n).v AS DOUBLE) AS until_seq
+FROM runs GROUP BY client_id, ticker, run"""
+    )
+
+
 def routed() -> str:
     return (
         with_(RAW, VALID, LOG, CLIENTS, SUBSCRIBED)
@@ -408,7 +447,9 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
         "subscription_state": with_(LOG, SUBSCRIBED) + "SELECT client_id, ticker FROM subscribed",
         "subscription_lists": with_(LOG, CLIENTS, SUBSCRIBED)
         + "SELECT client_id, coalesce(string_agg(ticker, ',' ORDER BY ticker), '') AS tickers FROM clients LEFT JOIN subscribed USING (client_id) GROUP BY client_id",
-        "routed_ticks": routed(),
+        "subscription_timelines": subscription_timelines(),
+        "routed_ticks": routed_in_time(),
+        "routed_by_final_sets": routed(),
         "candles_1h": with_(RAW, VALID, ohlc("date_trunc('hour', ts)")) + BARS,
         "candles_1m": with_(RAW, VALID, ohlc("date_trunc('minute', ts)")) + BARS,
         "daily_summary": with_(RAW, VALID, ohlc("CAST(ts AS DATE)"))
@@ -432,7 +473,8 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
         "count(CASE WHEN ticker IS NOT NULL AND price > 0 THEN 1 END) AS points FROM raw",
         "stream_feed": with_(LOG).rstrip("\n") + all_feed,
     }
-    queries["routed_ticks_salted"] = queries["stream_routed"] = queries["routed_ticks"]
+    queries["routed_ticks_salted"] = queries["routed_ticks"]
+    queries["routed_by_final_sets_salted"] = queries["stream_routed"] = queries["routed_by_final_sets"]
     queries["stream_enriched"] = queries["stream_topics"] = queries["enriched_ticks"]
     queries["stream_summary"], queries["known_actions_salted"] = queries["ticker_summary"], queries["known_actions"]
     queries["stream_points"] = queries["stored_points"]
