@@ -2,21 +2,25 @@
 
 All of a ticker's indicators share one shuffle and two sorts. The RSI recurrence
 ``A[n] = q * A[n-1] + g[n] / p`` has no window function; it is summed in blocks short enough that
-the weights ``q ** -i`` stay in range, and the blocks before are added with their decay.
+the weights ``q ** -i`` stay in range, and the blocks before are added with their decay, four, then
+four times four of them in each round, until a weight is no longer a positive number.
 
 Hot tickers (see :mod:`pieces`) are computed piece by piece as if each piece began a ticker, the
-results are written once, and a small table with one row per piece says how to correct them.
+results are written once, and a small table with one row per piece says how to correct them. What a
+piece does to an average is an affine map, so the averages at the entry of all pieces are a prefix of
+composed maps, found by doubling, and the first rows of each piece are worked out piece by piece in
+parallel.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +30,7 @@ from ..schema import TICK_ORDER
 from ..session import scratch_path
 from .pieces import DEFAULT_SPLIT, HotSplit, divide, find_hot
 
-# Rows before the last three blocks of 18 periods weigh less than e**-54 of the newest that moved.
 _PERIODS_PER_BLOCK = 18
-_BLOCKS_BACK = 3
 # Weights inside a block stay below e**600.
 _LARGEST_EXPONENT = 600.0
 # Moving averages up to this period are summed row by row when nothing else needs blocks.
@@ -205,14 +207,11 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
     if group.sma:
         sums["_inside_price"] = F.sum("price").over(inside)
     df = df.withColumns(sums)
-    averages = {}
-    for name, p in pairs:
-        decay = (p - 1) / p
-        total = F.col(f"_inside_{name}_{p}")
-        for back in range(1, _BLOCKS_BACK + 1):
-            before = F.max(f"_inside_{name}_{p}").over(blocks.rangeBetween(-back, -back))
-            total = total + F.coalesce(before, F.lit(0.0)) * F.lit(decay ** (group.size * back))
-        averages[f"_{name}_{p}"] = total * F.pow(F.lit(decay), in_block)
+    df, entries = _block_entries(df, blocks, group, pairs)
+    averages = {
+        f"_{name}_{p}": (F.col(f"_inside_{name}_{p}") + F.col(entries[name, p])) * F.pow(F.lit((p - 1) / p), in_block)
+        for name, p in pairs
+    }
     if group.sma:
         averages["_before_price"] = F.max("_inside_price").over(blocks.rangeBetween(-1, -1))
     df = df.withColumns(averages)
@@ -227,12 +226,51 @@ def _block_sums(df: DataFrame, by: list[str], group: _Blocks) -> DataFrame:
         dropped = F.coalesce(F.lag("_inside_price", p).over(onward), F.lit(0.0))
         mean = (F.col("_inside_price") + (crossing - dropped)) / p
         ends[f"_sma_{p}"] = F.when(F.col("_at") >= p - 1, mean).otherwise(0.0)
-    spent = {f"_inside_{name}_{p}" for name, p in pairs} | {f"_moved_{p}" for p in group.rsi}
+    spent = {f"_inside_{name}_{p}" for name, p in pairs} | {f"_moved_{p}" for p in group.rsi} | set(entries.values())
     spent |= {"_block", "_in_block", "_inside_price", "_before_price"}
     kept = [name for name in df.columns if name not in spent]
     return df.select(*kept, *[column.alias(name) for name, column in ends.items()])
 
 
+def _block_entries(
+    df: DataFrame, blocks: WindowSpec, group: _Blocks, pairs: list[tuple[str, int]]
+) -> tuple[DataFrame, dict[tuple[str, int], str]]:
+    """Append, for every row of a block, what the blocks before leave, as it stands at the block's first row.
+
+    The first round sums the last four blocks, each further one four of the sums before it.
+    """
+    entries: dict[tuple[str, int], str] = {}
+    span = 1
+    while True:
+        columns = {}
+        for name, p in pairs:
+            weights = {back: ((p - 1) / p) ** (group.size * back) for back in range(0, 4 * span + 1, span)}
+            if span == 1:
+                terms = [(f"_inside_{name}_{p}", back) for back in range(1, 5)]
+            else:
+                terms = [(entries[name, p], back) for back in range(span, 4 * span, span)]
+            reached = [(source, back) for source, back in terms if weights[back] > 0]
+            if reached:
+                # All rows of a block hold the same sum, or sums that never fall.
+                total = F.lit(0.0) if span == 1 else F.col(entries[name, p])
+                for source, back in reached:
+                    before = F.max(source).over(blocks.rangeBetween(-back, -back))
+                    total = total + F.coalesce(before, F.lit(0.0)) * F.lit(weights[back])
+                columns[name, p] = total
+        if not columns and span > 1:
+            return df, entries
+        fresh = {key: f"_entry_{key[0]}_{key[1]}" + (f"_{span}" if span > 1 else "") for key in columns}
+        df = df.withColumns({fresh[key]: column for key, column in columns.items()})
+        dropped = [entries[key] for key in fresh if key in entries]
+        entries |= fresh
+        if span == 1:
+            for key in set(pairs) - set(entries):
+                entries[key] = f"_entry_{key[0]}_{key[1]}"
+                df = df.withColumn(entries[key], F.lit(0.0))
+        df = df.drop(*dropped)
+        span *= 4
+
+
 def _corrected(
     pieces: DataFrame, by: list[str], order: list[str], spec: IndicatorSpec, keep_pieces: bool, count: int
 ) -> DataFrame:
@@ -252,7 +290,7 @@ def _corrected(
     local.write.parquet(path)
     local = spark.read.schema(local.schema).parquet(path)
 
-    entry = _entries(local, grouped, by, spec, head)
+    entry = _entries(local, grouped, by, spec, head, count)
     # One row per piece and key (a piece may hold the end of one key and the start of the next), and
     # HotSplit.max_pieces bounds both; long periods make the rows wide.
     values = (len(spec.sma) + len(spec.rsi)) * head + 3 * len(spec.rsi) + 4
@@ -287,7 +325,9 @@ def _corrected(
     return joined.select(*columns)
 
 
-def _entries(local: DataFrame, grouped: list[str], by: list[str], spec: IndicatorSpec, head: int) -> DataFrame:
+def _entries(
+    local: DataFrame, grouped: list[str], by: list[str], spec: IndicatorSpec, head: int, count: int
+) -> DataFrame:
     """One row per piece: what the pieces before it leave behind.
 
     Moving averages and RSI of the first ``head`` rows are worked out anew from the state at entry.
@@ -323,55 +363,150 @@ def _entries(local: DataFrame, grouped: list[str], by: list[str], spec: Indicato
             {f"moved_{p}": last["at"], f"moved_gain_{p}": last["avg_gain"], f"moved_loss_{p}": last["avg_loss"]}
         ).drop(f"_last_{p}")
 
-    fields = [local.schema[name] for name in grouped]
-    fields.append(T.StructField("_before", T.LongType()))
-    fields += [T.StructField(f"_head_sma_{p}", T.ArrayType(T.DoubleType())) for p in spec.sma]
+    return _carried(summary, grouped, by, spec, head, count)
+
+
+def _carried(
+    summary: DataFrame, grouped: list[str], by: list[str], spec: IndicatorSpec, head: int, count: int
+) -> DataFrame:
+    """``summary``, one row per piece, with what the pieces before leave behind."""
+    onward = Window.partitionBy(*by).orderBy("_piece")
+    earlier = onward.rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(name: str, default: float | int = 0) -> Column:
+        return F.coalesce(F.sum(name).over(earlier), F.lit(default))
+
+    state = {"_before": before("size"), "_price_after": F.lead(F.col("first_prices")[0]).over(onward)}
+    for name in ("money", "volume"):
+        state[f"_{name}_before"] = before(name, 0.0) if spec.vwap else F.lit(0.0)
+    known = summary.withColumns(state)
+    # The latest prices up to the end of each piece. A piece has a row at least, so the rounds suffice.
+    tail = F.col("last_prices")
+    for step in range(math.ceil(math.log2(spec.longest)) if spec.longest > 1 else 0):
+        known = known.withColumn("_tail", tail)
+        older = F.coalesce(F.lag("_tail", 1 << step).over(onward), F.array().cast("array<double>"))
+        joined = F.concat(older, "_tail")
+        tail = F.slice(joined, F.greatest(F.size(joined) - spec.longest + 1, F.lit(1)), spec.longest)
+    known = known.withColumn("_tail", tail)
+    known = known.withColumn("_tail", F.coalesce(F.lag("_tail").over(onward), F.array().cast("array<double>")))
+    if not spec.rsi:
+        return _apply_heads(known, grouped, spec, head, count).drop(*summary.drop(*grouped).columns, "_tail")
+
+    known = _apply_maps(known, grouped, spec, head, count)
+    keys = [(name, p) for p in spec.rsi for name in ("gain", "loss")]
+    known = known.withColumns({f"_seed_before_{n}_{p}": before(f"_seed_{n}_{p}", 0.0) for n, p in keys})
+    known = known.withColumns(
+        {f"_add_{n}_{p}": F.col(f"_map_{n}_{p}") + F.col(f"_coef_{p}") * F.col(f"_seed_before_{n}_{p}") for n, p in keys}
+        | {f"_times_{p}": F.pow(F.lit((p - 1) / p), F.col("size")) for p in spec.rsi}
+    )
+    # After round k a row holds the composed map of its piece and the 2**k - 1 before it.
+    for step in range(math.ceil(math.log2(count)) if count > 1 else 0):
+        lag = lambda name: F.coalesce(F.lag(name, 1 << step).over(onward), F.lit(0.0))  # noqa: B023, E731
+        known = known.withColumns(
+            {f"_add_{n}_{p}": F.col(f"_add_{n}_{p}") + F.col(f"_times_{p}") * lag(f"_add_{n}_{p}") for n, p in keys}
+            | {f"_times_{p}": F.col(f"_times_{p}") * lag(f"_times_{p}") for p in spec.rsi}
+        )
+    known = known.withColumns({f"_entry_{n}_{p}": F.coalesce(F.lag(f"_add_{n}_{p}").over(onward), F.lit(0.0)) for n, p in keys})
+    known = known.drop(*[f"_{kind}_{n}_{p}" for n, p in keys for kind in ("map", "add", "seed")])
+    known = known.drop(*[f"_{kind}_{p}" for p in spec.rsi for kind in ("times", "coef")])
+    known = _apply_heads(known, grouped, spec, head, count)
+    # Until the price of a piece moves, the index is what the last move before left.
+    filled = {}
     for p in spec.rsi:
-        fields.append(T.StructField(f"_head_rsi_{p}", T.ArrayType(T.DoubleType())))
-        fields += [T.StructField(f"_{name}_{p}", T.DoubleType()) for name in ("value", "add_gain", "add_loss")]
-    fields += [T.StructField(name, T.DoubleType()) for name in ("_money_before", "_volume_before", "_price_after")]
+        left = F.coalesce(F.last(f"_exit_{p}", ignorenulls=True).over(earlier), F.lit(100.0))
+        filled[f"_head_rsi_{p}"] = F.transform(f"_head_rsi_{p}", lambda value: F.coalesce(value, F.col(f"_left_{p}")))  # noqa: B023
+        filled[f"_value_{p}"] = F.coalesce(f"_value_{p}", F.col(f"_left_{p}"))
+        known = known.withColumn(f"_left_{p}", left)
+    known = known.withColumns(filled)
+    spent = [f"_{kind}_{p}" for p in spec.rsi for kind in ("left", "exit")]
+    spent += [f"_{kind}_{n}_{p}" for n, p in keys for kind in ("entry", "seed_before")]
+    return known.drop(*spent, *summary.drop(*grouped).columns, "_tail")
+
+
+def _by_piece(known: DataFrame, grouped: list[str], count: int, apply: Callable[[dict], dict], added: list[T.StructField]) -> DataFrame:
+    """``apply`` to every row, spread over tasks by piece."""
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_walk_pieces(frame.sort_values("_piece"), grouped, spec, head)))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                new = pd.DataFrame([apply(row) for row in frame.to_dict("records")], index=frame.index)
+                yield pd.concat([frame, new], axis=1)
 
-    return summary.groupBy(*by).applyInPandas(walk, T.StructType(fields))
+    tasks = min(count, int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return known.repartition(tasks, *grouped).mapInPandas(run, T.StructType([*known.schema.fields, *added]))
 
 
-def _walk_pieces(frame: pd.DataFrame, grouped: list[str], spec: IndicatorSpec, head: int) -> Iterator[dict]:
+def _entered(row: dict, spec: IndicatorSpec) -> TickerState:
     state = TickerState.start(spec)
-    rows = frame.to_dict("records")
-    for row, following in zip(rows, [*rows[1:], None]):
-        entry = {name: row[name] for name in grouped}
-        entry["_before"] = state.seen
-        entry["_money_before"], entry["_volume_before"] = state.money, state.volume
-        entry["_price_after"] = None if following is None else float(following["first_prices"][0])
+    state.seen, state.tail = int(row["_before"]), [float(price) for price in row["_tail"]]
+    return state
+
+
+def _apply_maps(known: DataFrame, grouped: list[str], spec: IndicatorSpec, head: int, count: int) -> DataFrame:
+    """Append the map of each piece: the average at its end is ``q ** size`` times the one at its entry,
+    plus ``_map`` and, where the smoothing starts in it, ``_coef`` times the seed gathered before."""
+
+    def maps(row: dict) -> dict:
+        state = _entered(row, spec)
+        advance(state, np.asarray(row["first_prices"], dtype=float), spec)
+        first, rest = len(row["first_prices"]), row["size"] - head
+        out = {}
+        for p, smoothed in state.smoothed.items():
+            decay = (p - 1) / p
+            starts = spec.rsi_seed == "wilder" and 0 <= p - row["_before"] < first
+            out[f"_coef_{p}"] = decay ** (row["size"] - 1 - (p - row["_before"])) / p if starts else 0.0
+            for name in ("gain", "loss"):
+                value = getattr(smoothed, f"avg_{name}")
+                if rest > 0:
+                    value = row[f"end_{name}_{p}"] + decay**rest * (value - row[f"head_{name}_{p}"])
+                out[f"_map_{name}_{p}"], out[f"_seed_{name}_{p}"] = value, getattr(smoothed, f"seed_{name}")
+        return out
+
+    added = [T.StructField(f"_coef_{p}", T.DoubleType()) for p in spec.rsi]
+    added += [T.StructField(f"_{kind}_{n}_{p}", T.DoubleType()) for p in spec.rsi for n in ("gain", "loss") for kind in ("map", "seed")]
+    return _by_piece(known, grouped, count, maps, added)
+
+
+def _apply_heads(known: DataFrame, grouped: list[str], spec: IndicatorSpec, head: int, count: int) -> DataFrame:
+    """Append the indicators of the first ``head`` rows of each piece and how the rows after them differ.
+
+    An index is NULL while no price of the piece has moved.
+    """
+
+    def heads(row: dict) -> dict:
+        state = _entered(row, spec)
+        for p, smoothed in state.smoothed.items():
+            smoothed.value = math.nan
+            for name in ("gain", "loss"):
+                setattr(smoothed, f"avg_{name}", max(row[f"_entry_{name}_{p}"], 0.0))
+                setattr(smoothed, f"seed_{name}", row[f"_seed_before_{name}_{p}"])
         first = advance(state, np.asarray(row["first_prices"], dtype=float), spec)
-        entry |= {f"_head_{name}": values.tolist() for name, values in first.items()}
-        rest = row["size"] - head
+        out = {f"_head_{name}": [None if math.isnan(v) else v for v in values.tolist()] for name, values in first.items()}
         for p, smoothed in state.smoothed.items():
-            entry[f"_value_{p}"] = smoothed.value
-            entry[f"_add_gain_{p}"] = entry[f"_add_loss_{p}"] = 0.0
-            if rest > 0:
-                _skip_rest(entry, row, p, smoothed, rest, head)
-        if rest > 0:
-            state.seen += rest
-            state.tail = [float(price) for price in row["last_prices"]]
-        if spec.vwap:
-            state.money += row["money"]
-            state.volume += row["volume"]
-        yield entry
-
-
-def _skip_rest(entry: dict, row: dict, p: int, smoothed: Smoothed, rest: int, head: int) -> None:
-    """Carry the averages from the head of a piece to its end."""
+            out |= {f"_value_{p}": smoothed.value, f"_add_gain_{p}": 0.0, f"_add_loss_{p}": 0.0}
+            if row["size"] > head:
+                _skip_rest(out, row, p, smoothed, head)
+            out[f"_exit_{p}"] = smoothed.value
+            for name in ("value", "exit"):
+                value = out[f"_{name}_{p}"]
+                out[f"_{name}_{p}"] = None if math.isnan(value) else value
+        return out
+
+    added = [T.StructField(f"_head_sma_{p}", T.ArrayType(T.DoubleType())) for p in spec.sma]
+    for p in spec.rsi:
+        added.append(T.StructField(f"_head_rsi_{p}", T.ArrayType(T.DoubleType())))
+        added += [T.StructField(f"_{name}_{p}", T.DoubleType()) for name in ("value", "add_gain", "add_loss", "exit")]
+    return _by_piece(known, grouped, count, heads, added)
+
+
+def _skip_rest(out: dict, row: dict, p: int, smoothed: Smoothed, head: int) -> None:
+    """How the averages past the head differ from the local ones, and the index at the last row that moved."""
     decay = (p - 1) / p
     add_gain = smoothed.avg_gain - row[f"head_gain_{p}"]
     add_loss = smoothed.avg_loss - row[f"head_loss_{p}"]
-    entry[f"_add_gain_{p}"], entry[f"_add_loss_{p}"] = add_gain, add_loss
+    out[f"_add_gain_{p}"], out[f"_add_loss_{p}"] = add_gain, add_loss
     if row[f"moved_{p}"] >= head:
         fade = decay ** (row[f"moved_{p}"] - head + 1)
         gain = max(row[f"moved_gain_{p}"] + fade * add_gain, 0.0)
         loss = max(row[f"moved_loss_{p}"] + fade * add_loss, 0.0)
         smoothed.value = 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
-    smoothed.avg_gain = max(row[f"end_gain_{p}"] + decay**rest * add_gain, 0.0)
-    smoothed.avg_loss = max(row[f"end_loss_{p}"] + decay**rest * add_loss, 0.0)
