@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 import oracles
 from tickloom.functions import columns as C
@@ -19,12 +21,13 @@ from tickloom.plans import dashboard
 from tickloom.plans.backtest import backtest
 from tickloom.plans.candles import candles, daily_summary
 from tickloom.plans.correlation import correlation
-from tickloom.schema import EVENTS, INDICATOR_FIELDS
+from tickloom.schema import INDICATOR_FIELDS
 from tickloom.session import scratch_path
 from tickloom.sources import fixtures, store, topics
 from tickloom.sources.ticks import read_events, ticks_from_events
-from tickloom.streaming import health, sinks, subscriptions
+from tickloom.streaming import health, sinks, subscription_table, subscriptions
 from tickloom.streaming.enrich import enrich_stream
+from tickloom.streaming.ordered import enrich_ordered, use_rocksdb, use_state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,39 +76,62 @@ def _indicator(spec: IndicatorSpec, *columns: str) -> Query:
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _tick_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return ticks_from_events(_event_stream(spark, folder))
+def _fed(spark: SparkSession, parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Micro-batch by micro-batch: each part arrives and the stream goes on from its checkpoint until it is done."""
+    path = scratch_path(spark, "arrivals")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(part.schema).parquet(path)).awaitTermination()
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+def _stream_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks that arrive in disorder: those within the delay in their order, the others as rejects."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    before = use_rocksdb(spark)
+    events = read_events(spark, folder)
+    path = scratch_path(spark, "late")
 
+    def start(arrived: DataFrame) -> StreamingQuery:
+        rows = enrich_ordered(ticks_from_events(arrived), delay="6d")
+        return sinks.to_files(rows, f"{path}/out", f"{path}/state", drain=True)
 
-def _drained(rows: DataFrame) -> DataFrame:
-    """Run a stream over what is there and read its output back."""
-    spark = rows.sparkSession
+    _fed(spark, [*fixtures.arrivals(events, 4, disorder=True), fixtures.closing_event(events)], start)
+    use_state_store(spark, before)
+    done = spark.read.parquet(f"{path}/out").withColumn("late", F.col("reject_reason").isNotNull())
+    return _out(done.select("seq", "ticker", "price", *[f"indicators.{name}" for name in INDICATOR_FIELDS], "indicators_ready", "late"))
+
+
+def _streamed(spark: SparkSession, folder: str, start: Callable[[DataFrame], StreamingQuery], chunks: int = 3) -> None:
+    """The ticks in several micro-batches, each handled by a stream that goes on from the last one's checkpoint."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _fed(spark, fixtures.arrivals(read_events(spark, folder), chunks), lambda arrived: start(ticks_from_events(arrived)))
+
+
+def _drained(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the ticks puts out, read back."""
     path = scratch_path(spark, "stream")
-    sinks.to_files(rows, f"{path}/out", f"{path}/state", drain=True).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+    _streamed(spark, folder, lambda ticks: sinks.to_files(build(ticks), f"{path}/out", f"{path}/state", drain=True))
+    return spark.read.parquet(f"{path}/out")
 
 
-def _stream_points(spark: SparkSession, folder: str) -> DataFrame:
-    enriched = enrich_stream(_tick_stream(spark, folder))
+def _stream_points(spark: SparkSession, folder: str, change: Callable[[DataFrame], DataFrame] = lambda ticks: ticks) -> DataFrame:
     path = scratch_path(spark, "stream")
-    sinks.to_store(enriched, f"{path}/points", f"{path}/state", drain=True).awaitTermination()
+    _streamed(
+        spark, folder, lambda ticks: sinks.to_store(enrich_stream(change(ticks)), f"{path}/points", f"{path}/state", drain=True)
+    )
     return _out(store.read_points(spark, f"{path}/points").drop("dt"))
 
 
 def _stream_two_sinks(spark: SparkSession, folder: str) -> DataFrame:
     """Store and topic fed from one enriched stream; counts read back from both."""
-    enriched = enrich_stream(_tick_stream(spark, folder))
     path = scratch_path(spark, "stream")
 
     def forward(batch: DataFrame, batch_id: int) -> None:
         normalize.to_messages(batch).write.mode("overwrite").parquet(f"{path}/topic/batch_id={batch_id}")
 
-    sinks.to_store_and(enriched, f"{path}/points", forward, f"{path}/state", drain=True).awaitTermination()
+    _streamed(
+        spark, folder, lambda ticks: sinks.to_store_and(enrich_stream(ticks), f"{path}/points", forward, f"{path}/state", drain=True)
+    )
     stored = spark.read.parquet(f"{path}/points").groupBy("ticker").agg(F.count(F.lit(1)).alias("stored"))
     sent = spark.read.parquet(f"{path}/topic").groupBy(F.col("key").alias("ticker")).agg(F.count(F.lit(1)).alias("sent"))
     return stored.join(sent, "ticker", "full").select("ticker", "stored", "sent")
@@ -114,11 +140,13 @@ def _stream_two_sinks(spark: SparkSession, folder: str) -> DataFrame:
 def _stream_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Raw topic to decoded ticks to enriched topic, read back as decoded ticks."""
     path = scratch_path(spark, "topics")
-    topics.publish(_ticks(spark, folder).where(F.col("ticker").isNotNull()), f"{path}/raw", "parquet")
-    raw = normalize.accepted(normalize.decode_messages(topics.read_topic(spark, [f"{path}/raw"], "parquet")))
-    enriched = enrich_stream(raw.drop("raw", "indicators", "indicators_ready"))
-    writer = topics.write_topic(enriched, f"{path}/processed", f"{path}/state", "parquet")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for part in fixtures.arrivals(read_events(spark, folder), 3):
+        topics.publish(ticks_from_events(part).where(F.col("ticker").isNotNull()), f"{path}/raw", "parquet")
+        raw = normalize.accepted(normalize.decode_messages(topics.read_topic(spark, [f"{path}/raw"], "parquet")))
+        enriched = enrich_stream(raw.drop("raw", "indicators", "indicators_ready"))
+        writer = topics.write_topic(enriched, f"{path}/processed", f"{path}/state", "parquet")
+        writer.trigger(availableNow=True).start().awaitTermination()
     back = spark.read.schema(topics.MESSAGE).parquet(f"{path}/processed")
     return _out(_flat(normalize.accepted(normalize.decode_messages(back))))
 
@@ -133,44 +161,72 @@ def _stream_health(spark: SparkSession, folder: str) -> DataFrame:
         validate.valid_ticks(batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
         batch.unpersist()
 
-    stream = _tick_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
-    stream.trigger(availableNow=True).start().awaitTermination()
-    totals = health.read_counters(spark, f"{path}/counters").agg(F.sum("ticks").alias("ticks"), F.sum("valid").alias("valid"))
+    def start(ticks: DataFrame) -> StreamingQuery:
+        return ticks.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+    _streamed(spark, folder, start, chunks=5)
+    counters = health.read_counters(spark, f"{path}/counters")
+    totals = counters.agg(F.count(F.lit(1)).alias("batches"), F.sum("ticks").alias("ticks"), F.sum("valid").alias("valid"))
     written = spark.read.parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("points"))
     return totals.crossJoin(F.broadcast(written))
 
 
 def _stream_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Each micro-batch summarised by the function that its end calls."""
+    """Each micro-batch summarised by the function that its end calls; tickers carry the number of theirs."""
     path = scratch_path(spark, "summaries")
 
     def done(result: DataFrame, batch_id: int) -> None:
         result.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
 
-    stream = _tick_stream(spark, folder).writeStream.foreachBatch(summary.summary_sink(done))
-    stream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return _out(spark.read.parquet(f"{path}/out").drop("batch_id"))
+    def start(ticks: DataFrame) -> StreamingQuery:
+        stream = ticks.writeStream.foreachBatch(summary.summary_sink(done)).option("checkpointLocation", f"{path}/state")
+        return stream.trigger(availableNow=True).start()
+
+    _streamed(spark, folder, start)
+    results = spark.read.parquet(f"{path}/out")
+    return _out(results.withColumn("ticker", F.concat("batch_id", F.lit(":"), "ticker")).drop("batch_id"))
 
 
 def _stream_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The subscription change feed; the newest list of each client that still has one."""
-    _ticks(spark, folder)
-    path = scratch_path(spark, "actions")
-    fixtures.subscription_log(read_events(spark, folder)).write.parquet(path)
-    log = spark.read.parquet(path)
-    feed = _drained(subscriptions.subscription_feed(spark.readStream.schema(log.schema).parquet(path)))
-    return feed.groupBy("client_id").agg(
+    log = _stored(_log(spark, folder), "log")
+    path = scratch_path(spark, "stream")
+
+    def start(actions: DataFrame) -> StreamingQuery:
+        return sinks.to_files(subscriptions.subscription_feed(actions), f"{path}/out", f"{path}/state", drain=True)
+
+    _fed(spark, fixtures.in_time_order(log, 3), start)
+    return spark.read.parquet(f"{path}/out").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("changes"), F.array_join(F.max_by("tickers", "seq"), ",").alias("tickers")
     )
 
 
+def _stream_subscriptions(spark: SparkSession, folder: str) -> DataFrame:
+    """The subscription table that a stream of actions keeps, read at each of its versions."""
+    log = _stored(_log(spark, folder), "log")
+    path = scratch_path(spark, "subscriptions")
+
+    def start(actions: DataFrame) -> StreamingQuery:
+        writer = actions.writeStream.foreachBatch(subscription_table.upsert_sink(f"{path}/table", compact_every=2))
+        return writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+    _fed(spark, fixtures.in_time_order(log, 3), start)
+    versions = [
+        subscription_table.snapshot(spark, f"{path}/table", version).transform(routing.lists_of).withColumn("version", F.lit(version))
+        for version in range(3)
+    ]
+    every = reduce(DataFrame.unionByName, versions)
+    return every.select("version", "client_id", F.array_join("tickers", ",").alias("tickers"))
+
+
 def _stream_routed(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of ticks routed to the clients of a subscription snapshot."""
-    targets = routing.routes(fixtures.subscription_log(read_events(spark, folder)))
-    path = scratch_path(spark, "routes")
-    targets.write.parquet(path)
-    routed = routing.route_ticks(validate.valid_ticks(_tick_stream(spark, folder)), spark.read.parquet(path))
-    return _per_client(_drained(routed.select("client_id", "ticker", "seq")))
+    targets = _stored(routing.routes(fixtures.subscription_log(read_events(spark, folder))), "routes")
+
+    def routed(ticks: DataFrame) -> DataFrame:
+        return routing.route_ticks(validate.valid_ticks(ticks), targets).select("client_id", "ticker", "seq")
+
+    return _per_client(_drained(spark, folder, routed))
 
 
 # --- other compositions --------------------------------------------------------------------------
@@ -340,6 +396,9 @@ def queries() -> dict[str, Query]:
         # stored points
         "stored_raw_points": lambda s, d: _out(reshape.to_points(_ticks(s, d))),
         "stored_points": lambda s, d: _out(_points(s, d)),
+        "dirty_numbers": lambda s, d: _out(reshape.to_points(fixtures.dirty(_ticks(s, d)))),
+        "dirty_rejects": lambda s, d: validate.unstorable(fixtures.dirty(_ticks(s, d))).select("seq", "reject_reason"),
+        "dirty_points": lambda s, d: _out(reshape.to_points(enrich(fixtures.dirty(_ticks(s, d))))),
         "points_long": lambda s, d: _out(reshape.to_long(_points(s, d))),
         "points_wide": lambda s, d: _out(reshape.to_wide(reshape.to_long(_points(s, d)))),
         "store_scan": _store_scan,
@@ -375,18 +434,22 @@ def queries() -> dict[str, Query]:
         "candles_1m": lambda s, d: _out(candles(_ticks(s, d), "1m")),
         "daily_summary": lambda s, d: _out(daily_summary(_ticks(s, d))),
         "correlation": lambda s, d: _out(correlation(_ticks(s, d), "1h")),
+        "correlation_flat": lambda s, d: _out(correlation(fixtures.half_flat(_ticks(s, d)), "1h", 3, 100)),
         "correlation_blocks": lambda s, d: _out(correlation(_ticks(s, d), "1h", 3, 100, full=True)),
         "backtest": lambda s, d: _out(backtest(_ticks(s, d))),
         "backtest_hot": lambda s, d: _out(backtest(_one_ticker(s, d), split=HotSplit(rows_per_piece=1500))),
         # streams
-        "stream_enriched": lambda s, d: _out(_flat(_drained(enrich_stream(_tick_stream(s, d))))),
-        "stream_candles": lambda s, d: _out(_drained(candles(_tick_stream(s, d), "1h", late="1h"))),
+        "stream_enriched": lambda s, d: _out(_flat(_drained(s, d, enrich_stream))),
+        "stream_late": _stream_late,
+        "stream_candles": lambda s, d: _out(_drained(s, d, lambda ticks: candles(ticks, "1h", late="1h"))),
         "stream_points": _stream_points,
+        "stream_dirty_points": lambda s, d: _stream_points(s, d, fixtures.dirty),
         "stream_two_sinks": _stream_two_sinks,
         "stream_topics": _stream_topics,
         "stream_health": _stream_health,
         "stream_summary": _stream_summary,
         "stream_feed": _stream_feed,
+        "stream_subscriptions": _stream_subscriptions,
         "stream_routed": _stream_routed,
     } | _corpus_queries()
 

@@ -12,6 +12,10 @@ RAW = """raw AS (
   FROM events)"""
 VALID = "valid AS (SELECT * FROM raw WHERE ticker IS NOT NULL AND price > 0)"
 HOT = "valid AS (SELECT * REPLACE ('HOT' AS ticker) FROM raw WHERE ticker IS NOT NULL AND price > 0)"
+# Tickers with the number of the micro-batch they came in, of three.
+BY_BATCH = """batched AS (SELECT raw.* REPLACE (concat(CAST(least(floor(seq * 3.0 / total), 2) AS INT), ':', ticker) AS ticker)
+  FROM (SELECT * FROM raw WHERE ticker IS NOT NULL) raw, (SELECT max(event_id) + 1 AS total FROM events)),
+valid AS (SELECT * FROM batched WHERE price > 0)"""
 FRAME = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 FIELDS = ("price", "open", "high", "low", "volume", "sma_20", "sma_50", "rsi_14", "vwap")
 RULES = (("sma_5_20", 5, 20), ("sma_20_50", 20, 50), ("rsi_7_25_75", 7, 25, 75), ("rsi_14_30_70", 14, 30, 70))
@@ -83,6 +87,24 @@ def enriched(valid: str = VALID) -> str:
     )
 
 
+# What has come in four chunks, and the watermark before each: six days behind the valid ticks of the chunks before.
+ARRIVED = """arrived AS (SELECT *, least(floor((seq
+    + CASE WHEN seq % 11 = 3 THEN total // 7 WHEN seq % 11 = 7 THEN total // 2 ELSE 0 END) * 4.0 / total), 3) AS chunk
+  FROM raw, (SELECT max(event_id) + 1 AS total FROM events) WHERE ticker IS NOT NULL AND price > 0),
+marks AS (SELECT c.chunk, date_trunc('millisecond', max(a.ts)) - INTERVAL 6 DAYS AS mark
+  FROM (SELECT DISTINCT chunk FROM arrived) c LEFT JOIN arrived a ON a.chunk < c.chunk GROUP BY c.chunk),
+judged AS (SELECT arrived.* EXCLUDE (chunk, total), mark IS NOT NULL AND ts <= mark AS late FROM arrived JOIN marks USING (chunk)),
+valid AS (SELECT * EXCLUDE late FROM judged WHERE NOT late)"""
+
+
+def late() -> str:
+    return (
+        enriched(ARRIVED)
+        + f"""SELECT *, false AS late FROM ({FLAT})
+UNION ALL SELECT seq, ticker, {r('price')}, 0, 0, 0, 0, false, true FROM judged WHERE late"""
+    )
+
+
 FLAT = f"""SELECT seq, ticker, {r('price')}, {r('sma_20')}, {r('sma_50')}, {r('rsi_14')}, {r('vwap')}, ready AS indicators_ready
 FROM enriched"""
 
@@ -232,17 +254,32 @@ def ohlc(bucket: str, valid: str = VALID) -> str:
 BARS = f"SELECT ticker, bucket, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, ticks FROM bars"
 
 
-def correlations(full: bool) -> str:
+HALF_FLAT = """valid AS (SELECT * EXCLUDE total REPLACE (CASE WHEN ticker = 'T1' AND seq * 2 >= total THEN 100.0 ELSE price END AS price)
+  FROM raw, (SELECT max(event_id) + 1 AS total FROM events)
+  WHERE ticker IS NOT NULL AND price > 0 AND NOT (ticker = 'T2' AND seq * 10 < total * 6))"""
+FINITE = {name: f"CASE WHEN isfinite({name}) THEN {name} ELSE 0 END" for name in ("open", "high", "low")}
+DIRTY = """dirty AS (SELECT * REPLACE (
+    CASE WHEN seq % 13 = 0 THEN 'nan'::DOUBLE WHEN seq % 17 = 0 THEN 'inf'::DOUBLE WHEN seq % 19 = 0 THEN '-inf'::DOUBLE ELSE price END AS price,
+    CASE WHEN seq % 31 <> 0 THEN open END AS open,
+    CASE WHEN seq % 23 = 0 THEN 'nan'::DOUBLE WHEN seq % 37 = 0 THEN 'inf'::DOUBLE ELSE high END AS high,
+    CASE WHEN seq % 29 = 0 THEN '-inf'::DOUBLE ELSE low END AS low) FROM raw)"""
+DIRTY_VALID = f"""{DIRTY},
+valid AS (SELECT * REPLACE ({", ".join(f"coalesce({text}, 0) AS {name}" for name, text in FINITE.items())})
+  FROM dirty WHERE ticker IS NOT NULL AND isfinite(price) AND price > 0)"""
+
+
+def correlations(full: bool, valid: str = VALID) -> str:
     side = "<>" if full else "<"
     return (
         with_(
             RAW,
-            VALID,
+            valid,
             ohlc("date_trunc('hour', ts)"),
             "steps AS (SELECT ticker, bucket, close / lag(close) OVER (PARTITION BY ticker ORDER BY bucket) - 1 AS ret FROM bars)",
             "returns AS (SELECT * FROM steps WHERE ret IS NOT NULL)",
         )
-        + f"""SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, count(*) AS n, {r('corr(a.ret, b.ret)', 'corr')}
+        + f"""SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, count(*) AS n,
+  {r('CASE WHEN min(a.ret) < max(a.ret) AND min(b.ret) < max(b.ret) THEN corr(a.ret, b.ret) END', 'corr')}
 FROM returns a JOIN returns b ON a.bucket = b.bucket AND a.ticker {side} b.ticker GROUP BY ALL"""
     )
 
@@ -317,6 +354,28 @@ spells AS (SELECT s.client_id, s.ts, s.seq, held,
   FROM states s LEFT JOIN closes c USING (client_id) WINDOW w AS (PARTITION BY s.client_id ORDER BY s.ts, s.seq))"""
 
 
+def subscription_versions() -> str:
+    """The subscriptions that each third of the log's time leaves, opens and closes included."""
+    return (
+        with_(
+            LOG,
+            f"""acts AS (SELECT client_id, action, tickers, ts, seq FROM log
+  UNION ALL SELECT client_id, 'open', NULL, min(ts) - INTERVAL 1 SECOND, -1 FROM log WHERE {CONNECTED} GROUP BY client_id
+  UNION ALL SELECT client_id, 'close', NULL, max(ts) + INTERVAL 1 SECOND, -2 FROM log WHERE {CONNECTED} AND user_id % 7 = 3 GROUP BY client_id
+  UNION ALL SELECT unnest(['w0', 'w1']), 'open', NULL, min(ts), -1 FROM log)""",
+            """cut AS (SELECT *, floor((epoch_us(ts) - low) * 3.0 / (high - low + 1)) AS chunk
+  FROM acts, (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM acts))""",
+            "upto AS (SELECT v AS version, cut.* FROM cut, (SELECT unnest([0, 1, 2]) AS v) WHERE chunk <= v)",
+            """here AS (SELECT version, client_id FROM upto GROUP BY ALL
+  HAVING count(*) FILTER (action = 'open') > 0 AND count(*) FILTER (action = 'close') = 0)""",
+            """last AS (SELECT version, client_id, ticker, arg_max(action, (ts, seq)) AS action
+  FROM (SELECT *, unnest(tickers) AS ticker FROM upto WHERE action IN ('subscribe', 'unsubscribe')) GROUP BY ALL)""",
+        )
+        + """SELECT h.version, h.client_id, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER (action = 'subscribe'), '') AS tickers
+FROM here h LEFT JOIN last l ON l.version = h.version AND l.client_id = h.client_id GROUP BY ALL"""
+    )
+
+
 def routed_in_time() -> str:
     return (
         with_(RAW, VALID, LOG, STATES)
@@ -462,20 +521,35 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
         + " FROM bars",
         "correlation": correlations(full=False),
         "correlation_blocks": correlations(full=True),
+        "correlation_flat": correlations(False, HALF_FLAT),
+        "dirty_numbers": with_(RAW, DIRTY)
+        + "SELECT ticker, coalesce(source, 'unknown') AS source, ts, seq, round(price, 6) AS price, "
+        + ", ".join(f"round(coalesce({text}, 0), 6) AS {name}" for name, text in FINITE.items())
+        + ", coalesce(volume, 0) AS volume, "
+        + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in FIELDS[5:])
+        + " FROM dirty WHERE ticker IS NOT NULL AND isfinite(price)",
+        "dirty_rejects": with_(RAW, DIRTY)
+        + "SELECT seq, CASE WHEN ticker IS NULL THEN 'missing_ticker' ELSE 'price_not_finite' END AS reject_reason"
+        + " FROM dirty WHERE ticker IS NULL OR NOT coalesce(isfinite(price), false)",
+        "dirty_points": enriched(DIRTY_VALID).rstrip("\n") + ",\n" + points_cte() + "\n" + f"SELECT {POINT_LIST} FROM points",
         "backtest": backtests(),
         "backtest_hot": backtests(HOT),
+        "stream_late": late(),
         "stream_candles": with_(RAW, VALID, ohlc("date_trunc('hour', ts)"))
         + BARS
         + " WHERE bucket + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM valid)) - INTERVAL 1 HOUR",
         "stream_two_sinks": base + "SELECT ticker, count(*) AS stored, count(*) AS sent FROM valid GROUP BY ticker",
         "stream_health": with_(RAW)
-        + "SELECT count(*) AS ticks, count(CASE WHEN ticker IS NOT NULL AND price > 0 THEN 1 END) AS valid, "
+        + "SELECT 5 AS batches, count(*) AS ticks, count(CASE WHEN ticker IS NOT NULL AND price > 0 THEN 1 END) AS valid, "
         "count(CASE WHEN ticker IS NOT NULL AND price > 0 THEN 1 END) AS points FROM raw",
+        "stream_subscriptions": subscription_versions(),
         "stream_feed": with_(LOG).rstrip("\n") + all_feed,
     }
     queries["routed_ticks_salted"] = queries["routed_ticks"]
     queries["routed_by_final_sets_salted"] = queries["stream_routed"] = queries["routed_by_final_sets"]
     queries["stream_enriched"] = queries["stream_topics"] = queries["enriched_ticks"]
-    queries["stream_summary"], queries["known_actions_salted"] = queries["ticker_summary"], queries["known_actions"]
+    queries["known_actions_salted"] = queries["known_actions"]
+    queries["stream_summary"] = summary(BY_BATCH, "batched")
     queries["stream_points"] = queries["stored_points"]
+    queries["stream_dirty_points"] = queries["dirty_points"]
     return queries

@@ -95,3 +95,17 @@ def test_equal_averages_are_not_a_crossover(make_ticks):
     prices = [0.1, 0.2, 0.3, 0.2] * 150
     row = backtest(make_ticks([("A", p) for p in prices]), (Crossover(4, 8),)).collect()[0]
     assert (row["trades"], row["held"]) == (0, 0)
+
+
+def test_correlation_of_a_ticker_that_stands_still(spark, make_ticks):
+    # B trades in the second half only, where A does not move; their overlap has nothing to correlate.
+    pairs, hours = [], []
+    for hour in range(40):
+        pairs.append(("A", 10.0 + (hour * 7 % 5) / 7 if hour < 20 else 11.3))
+        hours.append(hour)
+        if hour >= 22:
+            pairs.append(("B", 5.0 + (hour * 3 % 7) / 3))
+            hours.append(hour)
+    ticks = make_ticks(pairs, ts=lambda i: START + timedelta(hours=hours[i]))
+    (row,) = correlation(ticks, "1h").collect()
+    assert (row["ticker_a"], row["ticker_b"], row["n"], row["corr"]) == ("A", "B", 17, None)

@@ -46,3 +46,11 @@ def test_counters_cover_every_batch(spark, make_ticks, tmp_path):
         health.write_counters(ticks, batch, str(tmp_path))
     totals = health.read_counters(spark, str(tmp_path)).agg(F.sum("ticks"), F.sum("valid"), F.count("*")).first()
     assert tuple(totals) == (360, 120, 120)
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_odd_prices_are_not_stored(make_ticks, odd):
+    ticks = make_ticks([("A", 1.0), ("A", odd), (None, 2.0), ("A", 0.0), ("A", None)])
+    assert sorted(r["price"] for r in reshape.to_points(ticks).collect()) == [0.0, 1.0]
+    reasons = {r["seq"]: r["reject_reason"] for r in validate.unstorable(ticks).collect()}
+    assert reasons == {1: "price_not_finite", 2: "missing_ticker", 4: "price_not_finite"}

@@ -32,9 +32,21 @@ def rejected_ticks(ticks: DataFrame) -> DataFrame:
     return with_reason(ticks).where(F.col(REJECT).isNotNull())
 
 
+def store_reason() -> Column:
+    """Reason a tick cannot be stored; NULL for one that can."""
+    return F.when(F.col("ticker").isNull(), F.lit("missing_ticker")).when(
+        ~C.is_finite(F.col("price")), F.lit("price_not_finite")
+    )
+
+
 def storable(ticks: DataFrame) -> DataFrame:
-    """Ticks that may be stored: ticker and price present, whatever the price."""
-    return ticks.where(F.col("ticker").isNotNull() & F.col("price").isNotNull())
+    """Ticks that may be stored: a ticker, and a price that is a number, whichever."""
+    return ticks.where(store_reason().isNull())
+
+
+def unstorable(ticks: DataFrame) -> DataFrame:
+    """The complement of :func:`storable`, with the reason."""
+    return ticks.withColumn(REJECT, store_reason()).where(F.col(REJECT).isNotNull())
 
 
 def fill_defaults(ticks: DataFrame) -> DataFrame:

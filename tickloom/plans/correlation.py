@@ -37,7 +37,8 @@ def correlation(
 ) -> DataFrame:
     """``(ticker_a, ticker_b, n, corr)`` over the buckets both tickers have; ``a < b`` unless ``full``.
 
-    ``corr`` is NULL for fewer than two buckets or a ticker that never moved.
+    ``corr`` is NULL for fewer than two buckets, or where a ticker's returns do not vary over them: by less than
+    the rounding of their sums can tell.
     """
     returns = candle_returns(ticks, width)
     everywhere = Window.partitionBy("ticker")
@@ -65,7 +66,9 @@ def correlation(
     cov = F.col("sum_ab") - F.col("sum_a") * F.col("sum_b") / n
     var_a = F.col("sum_aa") - F.col("sum_a") * F.col("sum_a") / n
     var_b = F.col("sum_bb") - F.col("sum_b") * F.col("sum_b") / n
-    usable = (n >= 2) & (var_a > 0) & (var_b > 0)
+    # Rounding leaves up to about n units in the last place of the sum of squares where nothing varies.
+    noise = F.lit(4 * 2.0**-52) * n
+    usable = (n >= 2) & (var_a > noise * F.col("sum_aa")) & (var_b > noise * F.col("sum_bb"))
     pairs = sums.select(
         "ticker_a",
         "ticker_b",

@@ -99,3 +99,62 @@ def subscription_log(events: DataFrame) -> DataFrame:
         F.explode(F.array(F.lit("w0"), F.lit("w1"))).alias("client_id"), F.lit("open").alias("action"), none.alias("tickers"), "ts", F.lit(-1).cast("long").alias("seq")
     )
     return changes.unionByName(opens).unionByName(closes).unionByName(quiet)
+
+
+def arrivals(events: DataFrame, chunks: int, disorder: bool = False) -> list[DataFrame]:
+    """The events as they come in, in ``chunks`` of equally many event numbers.
+
+    With ``disorder`` one event in eleven comes a seventh of the table later than its number says, and another one
+    half of the table later.
+    """
+    total = events.agg(F.max("event_id")).first()[0] + 1
+    number = F.col("event_id")
+    place = number
+    if disorder:
+        place = number + F.when(number % 11 == 3, total // 7).when(number % 11 == 7, total // 2).otherwise(0)
+    chunk = F.least(F.floor(place * chunks / total), F.lit(chunks - 1))
+    return [events.where(chunk == i) for i in range(chunks)]
+
+
+def closing_event(events: DataFrame) -> DataFrame:
+    """One event of a user of its own, a year after the last, that lets everything before it go."""
+    last = events.agg(F.max("ts").alias("ts"))
+    return last.select(
+        F.lit(1).cast("long").alias("event_id"),
+        (F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"),
+        F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"),
+        F.lit('{"k": 1}').alias("props"),
+    )
+
+
+def in_time_order(rows: DataFrame, chunks: int) -> list[DataFrame]:
+    """Rows in ``chunks`` of equally long spans of ``ts``."""
+    micros = F.unix_micros("ts")
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    chunk = F.floor((micros - F.lit(low)) * F.lit(chunks) / F.lit(high - low + 1))
+    return [rows.where(chunk == i) for i in range(chunks)]
+
+
+def dirty(ticks: DataFrame) -> DataFrame:
+    """Ticks with numbers that are missing or not finite among their prices."""
+    seq = F.col("seq")
+    nan, up, down = (F.lit(float(name)) for name in ("nan", "inf", "-inf"))
+    return ticks.withColumns(
+        {
+            "price": F.when(seq % 13 == 0, nan).when(seq % 17 == 0, up).when(seq % 19 == 0, down).otherwise(F.col("price")),
+            "open": F.when(seq % 31 != 0, F.col("open")),
+            "high": F.when(seq % 23 == 0, nan).when(seq % 37 == 0, up).otherwise(F.col("high")),
+            "low": F.when(seq % 29 == 0, down).otherwise(F.col("low")),
+        }
+    )
+
+
+def half_flat(ticks: DataFrame) -> DataFrame:
+    """T1 stands still in its second half, and T2 trades only while T1 does."""
+    total = ticks.agg(F.max("seq")).first()[0] + 1
+    seq, ticker = F.col("seq"), F.col("ticker")
+    still = (ticker == "T1") & (seq * 2 >= total)
+    away = (ticker == "T2") & (seq * 10 < total * 6)
+    return ticks.where(F.coalesce(~away, F.lit(True))).withColumn("price", F.when(still & (F.col("price") > 0), 100.0).otherwise(F.col("price")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import columns as C
+from ..operators.validate import store_reason
 
 COUNTERS = "batch BIGINT, ticks BIGINT, valid BIGINT, points BIGINT, tickers BIGINT"
 HEALTH = "query STRING, batch BIGINT, at STRING, ticks BIGINT, valid BIGINT, tickers BIGINT, in_state BIGINT"
@@ -44,7 +45,7 @@ def write_counters(batch: DataFrame, batch_id: int, path: str) -> None:
     counters = batch.agg(
         F.count(F.lit(1)).alias("ticks"),
         F.count(F.when(valid, 1)).alias("valid"),
-        F.count(F.when(F.col("ticker").isNotNull() & F.col("price").isNotNull(), 1)).alias("points"),
+        F.count(F.when(store_reason().isNull(), 1)).alias("points"),
         F.approx_count_distinct("ticker").alias("tickers"),
     )
     counters.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
