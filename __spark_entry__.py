@@ -389,9 +389,7 @@ def queries() -> dict[str, Query]:
         "signals": _signals,
         # batch summary
         "ticker_summary": lambda s, d: _out(summary.ticker_summary(_ticks(s, d))),
-        "ticker_summary_hot": lambda s, d: _out(
-            summary.ticker_summary(_one_ticker(s, d), HotSplit(rows_per_piece=1500))
-        ),
+        "ticker_summary_hot": lambda s, d: _out(summary.ticker_summary(_one_ticker(s, d), span="3h")),
         "batch_counters": _counters,
         # stored points
         "stored_raw_points": lambda s, d: _out(reshape.to_points(_ticks(s, d))),

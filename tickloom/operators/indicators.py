@@ -334,6 +334,11 @@ def _entries(
     Past them a moving average needs nothing, and the RSI averages differ from the local ones by a
     difference that only decays.
     """
+    return _carried(_piece_states(local, grouped, spec, head), grouped, by, spec, head, count)
+
+
+def _piece_states(local: DataFrame, grouped: list[str], spec: IndicatorSpec, head: int) -> DataFrame:
+    """One row per piece: its first and last prices, sums, and averages as if it began a ticker."""
     at, left = F.col("_at"), F.col("_left")
     last_row, head_row = left == 0, at == head - 1
 
@@ -363,7 +368,7 @@ def _entries(
             {f"moved_{p}": last["at"], f"moved_gain_{p}": last["avg_gain"], f"moved_loss_{p}": last["avg_loss"]}
         ).drop(f"_last_{p}")
 
-    return _carried(summary, grouped, by, spec, head, count)
+    return summary
 
 
 def _carried(

@@ -8,31 +8,29 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.stepper import DEFAULT_SPEC
 from ..schema import INDICATOR_FIELDS
 from .enrich import READY_AT
-from .indicators import with_indicators
-from .pieces import DEFAULT_SPLIT, HotSplit
-from .validate import tick_reason, valid_ticks
+from .folded import final_indicators
+from .validate import fill_defaults, tick_reason, valid_ticks
 
 
-def ticker_summary(ticks: DataFrame, split: HotSplit = DEFAULT_SPLIT) -> DataFrame:
+def ticker_summary(ticks: DataFrame, span: str = "1d") -> DataFrame:
     """Last price, final indicators and tick count per ticker.
 
-    The count includes invalid ticks, and a ticker with invalid ticks only keeps its row of zeros.
+    The count includes invalid ticks, and a ticker with invalid ticks only keeps its row of zeros. One scan and one
+    shuffle of ticks, by ticker and ``span`` of time; ``span`` should hold what a task sorts comfortably.
     """
+    if ticks.isStreaming:
+        raise ValueError("summarise a stream by micro-batch: use summary_sink")
     named = ticks.where(F.col("ticker").isNotNull())
-    counts = named.groupBy("ticker").agg(F.count(F.lit(1)).alias("tick_count"))
-    known = with_indicators(valid_ticks(ticks), split=split)
-    final = known.groupBy("ticker").agg(
-        F.max_by("price", "tick_no").alias("last_price"),
-        *[F.max_by(name, "tick_no").alias(name) for name in INDICATOR_FIELDS],
-        (F.max("tick_no") >= READY_AT).alias("indicators_ready"),
-    )
-    zero = {name: F.coalesce(F.col(name), F.lit(0.0)) for name in ("last_price", *INDICATOR_FIELDS)}
-    return (
-        counts.join(final, "ticker", "left")
-        .withColumns(zero | {"indicators_ready": F.coalesce("indicators_ready", F.lit(False))})
-        .select("ticker", "last_price", *INDICATOR_FIELDS, "tick_count", "indicators_ready")
+    final = final_indicators(fill_defaults(named), tick_reason().isNull(), DEFAULT_SPEC, span)
+    return final.select(
+        "ticker",
+        "last_price",
+        *INDICATOR_FIELDS,
+        F.col("ticks").alias("tick_count"),
+        (F.col("seen") >= READY_AT).alias("indicators_ready"),
     )
 
 
