@@ -129,7 +129,8 @@ def test_good_and_rejected_are_all(make_ticks):
     good, bad = V.valid_ticks(ticks), V.rejected_ticks(ticks)
     assert good.count() + bad.count() == ticks.count()
     assert {r["reject_reason"]: r["n"] for r in V.reject_counts(bad).collect()} == {"missing_ticker": 2, "invalid_price": 3}
-    assert V.storable(ticks).count() == 3
+    # An infinite price is no number to store; a price of zero is.
+    assert V.storable(ticks).count() == 2 and V.unstorable(ticks).count() == 4
 
 
 def test_watch_list_by_names_and_by_relation(make_ticks, spark):

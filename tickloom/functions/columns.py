@@ -20,9 +20,16 @@ def duration(text: str) -> timedelta:
     return timedelta(**{_UNIT[match.group(2)]: int(match.group(1))})
 
 
+def utc_date(ts: Column) -> Column:
+    """The day in UTC, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86_400)).cast("int"))
+
+
 def iso_text(ts: Column) -> Column:
-    """UTC text with whole seconds, such as 2024-01-15T14:30:00Z (session time zone UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC text with whole seconds, such as 2024-01-15T14:30:00Z, whatever the time zone of the session."""
+    second = F.pmod(F.unix_seconds(ts), F.lit(86_400))
+    parts = (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return F.concat(utc_date(ts).cast("string"), F.lit("T"), F.format_string("%02d:%02d:%02d", *parts), F.lit("Z"))
 
 
 def iso_timestamp(text: Column) -> Column:

@@ -44,4 +44,4 @@ def with_signals(ticks: DataFrame, tolerance: float = 0.001) -> DataFrame:
 def session_vwap(ticks: DataFrame, split: HotSplit = DEFAULT_SPLIT) -> DataFrame:
     """VWAP that starts anew each UTC day."""
     spec = IndicatorSpec(sma=(), rsi=(), reset_by=("session",))
-    return with_indicators(valid_ticks(ticks).withColumn("session", F.to_date("ts")), spec, split)
+    return with_indicators(valid_ticks(ticks).withColumn("session", C.utc_date(F.col("ts"))), spec, split)

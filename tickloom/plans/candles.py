@@ -46,7 +46,7 @@ def daily_summary(ticks: DataFrame) -> DataFrame:
         valid_ticks(ticks)
         .withColumns(
             {
-                "dt": F.to_date("ts"),
+                "dt": C.utc_date(F.col("ts")),
                 "_money": F.when(counted, C.typical_price(price, high, low) * volume).otherwise(0.0),
                 "_volume": F.when(counted, volume.cast("double")).otherwise(0.0),
             }

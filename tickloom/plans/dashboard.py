@@ -21,9 +21,11 @@ def just_after_latest(points: DataFrame) -> Column:
 
 def within(points: DataFrame, range_: str, as_of: Column | None = None) -> DataFrame:
     now = F.current_timestamp() if as_of is None else as_of
-    start = now - F.lit(C.duration(range_))
+    # In microseconds: a day of the session's zone may be longer or shorter than 24 hours.
+    micros = int(C.duration(range_).total_seconds() * 1_000_000)
+    start = F.timestamp_micros(F.unix_micros(now) - F.lit(micros))
     if "dt" in points.columns:
-        points = points.where((F.col("dt") >= F.to_date(start)) & (F.col("dt") <= F.to_date(now)))
+        points = points.where((F.col("dt") >= C.utc_date(start)) & (F.col("dt") <= C.utc_date(now)))
     return points.where((F.col("ts") >= start) & (F.col("ts") < now))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators.normalize import QUOTE_FIELDS
 from ..schema import SOURCE_ONE, SOURCE_TWO
 
@@ -13,7 +14,7 @@ def messages(ticks: DataFrame) -> DataFrame:
     """Every tick as a topic message, some of them damaged."""
     seq = F.col("seq")
     fields = F.struct(
-        "price", "open", "high", "low", "volume", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "source"
+        "price", "open", "high", "low", "volume", C.iso_text(F.col("ts")).alias("timestamp"), "source"
     )
     text_price = F.struct(F.col("price").cast("string").alias("price"), "volume")
     real_volume = F.struct("price", (F.col("volume") + F.lit(0.5)).alias("volume"))

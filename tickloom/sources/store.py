@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators.reshape import to_points
 
 
@@ -14,7 +15,7 @@ def write_points(enriched: DataFrame, path: str, mode: str = "append") -> None:
     Range partitioning by (date, ticker, time) samples the rows, so a crowded date or ticker takes as
     many files as it needs, and each file covers few tickers, which lets a reader skip the others.
     """
-    points = to_points(enriched).withColumn("dt", F.to_date("ts"))
+    points = to_points(enriched).withColumn("dt", C.utc_date(F.col("ts")))
     (
         points.repartitionByRange("dt", "ticker", "ts", "seq")
         .sortWithinPartitions("dt", "ticker", "ts", "seq")

@@ -5,7 +5,7 @@ The Kafka options need the public ``spark-sql-kafka-0-10`` connector on the clas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,22 +13,40 @@ from ..operators.normalize import to_messages
 
 MESSAGE = "key STRING, value STRING, seq BIGINT, ts TIMESTAMP"
 
+#: What one micro-batch reads at most where nothing else is asked for.
+OFFSETS_PER_TRIGGER = 1_000_000
+FILES_PER_TRIGGER = 100
+_TOPIC_BITS, _PARTITION_BITS = 6, 12
+
+
+def message_number(names: list[str], topic: Column, partition: Column, offset: Column) -> Column:
+    """One number for (offset, partition, topic): messages of one time are ordered by it, the same way in each run.
+
+    Holds offsets up to 2**45, 4,096 partitions and 64 topics.
+    """
+    if len(names) > 1 << _TOPIC_BITS:
+        raise ValueError(f"more than {1 << _TOPIC_BITS} topics")
+    place = F.array_position(F.array(*[F.lit(name) for name in sorted(names)]), topic) - 1
+    number = F.shiftleft(offset, _PARTITION_BITS).bitwiseOR(partition.cast("long"))
+    return F.shiftleft(number, _TOPIC_BITS).bitwiseOR(place)
+
 
 def read_topic(
     spark: SparkSession,
     names: list[str],
     fmt: str = "kafka",
-    per_trigger: int | None = None,
+    per_trigger: int = 0,
     **options: str,
 ) -> DataFrame:
     """A stream of ``(key, value, seq, ts)`` from one or several topics, from the earliest offset.
 
     With ``kafka`` the names are topics; otherwise they are folders of files with these columns.
-    ``per_trigger`` bounds the offsets, or the files, of one micro-batch.
+    ``per_trigger`` bounds the offsets, or the files, of one micro-batch; 0 stands for ``OFFSETS_PER_TRIGGER`` or
+    ``FILES_PER_TRIGGER``, so that the first batch of a backfill is not the whole topic. ``seq`` is unique over the
+    topics and their partitions and rises along each partition.
     """
     if fmt == "kafka":
-        if per_trigger is not None:
-            options["maxOffsetsPerTrigger"] = str(per_trigger)
+        options["maxOffsetsPerTrigger"] = str(per_trigger or OFFSETS_PER_TRIGGER)
         topic = (
             spark.readStream.format("kafka")
             .option("subscribe", ",".join(names))
@@ -39,11 +57,10 @@ def read_topic(
         return topic.select(
             F.col("key").cast("string").alias("key"),
             F.col("value").cast("string").alias("value"),
-            F.col("offset").alias("seq"),
+            message_number(names, F.col("topic"), F.col("partition"), F.col("offset")).alias("seq"),
             F.col("timestamp").alias("ts"),
         )
-    if per_trigger is not None:
-        options["maxFilesPerTrigger"] = str(per_trigger)
+    options["maxFilesPerTrigger"] = str(per_trigger or FILES_PER_TRIGGER)
     streams = [
         spark.readStream.schema(MESSAGE).format(fmt).options(**options).load(name) for name in names
     ]
