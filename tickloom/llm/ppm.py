@@ -214,7 +214,7 @@ def held_out_tenth(id_col: str) -> Column:
 def score_documents(
     docs: DataFrame,
     held_out: Column | None = None,
-    chunk_bytes: int = 16 << 20,
+    chunk_bytes: int = 8 << 20,
     group_runs: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
