@@ -241,6 +241,16 @@ def _store_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _out(dashboard.indicator_history(points, "T3", "7d", now))
 
 
+def _store_committed(spark: SparkSession, folder: str) -> DataFrame:
+    """Points committed in three runs, one of them twice, and then put together."""
+    enriched = _stored(enrich(_ticks(spark, folder)), "enriched")
+    path = scratch_path(spark, "committed")
+    for run in ("0", "1", "1", "2"):
+        store.commit_points(enriched.where(F.pmod("seq", F.lit(3)) == int(run)), path, run)
+    store.compact_points(spark, path, "together")
+    return _out(store.read_committed(spark, path).drop("dt"))
+
+
 def _dashboard(build: Callable[[DataFrame, Column], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         now = dashboard.just_after_latest(_valid(spark, folder))
@@ -400,6 +410,7 @@ def queries() -> dict[str, Query]:
         "points_long": lambda s, d: _out(reshape.to_long(_points(s, d))),
         "points_wide": lambda s, d: _out(reshape.to_wide(reshape.to_long(_points(s, d)))),
         "store_scan": _store_scan,
+        "store_committed": _store_committed,
         # dashboard
         "latest_tick": _dashboard(lambda p, now: dashboard.latest_tick(p, "T3", now)),
         "price_history": _prices(lambda p, now: dashboard.price_history(p, "T3", "24h", now)),

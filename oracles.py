@@ -550,6 +550,6 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
     queries["stream_enriched"] = queries["stream_topics"] = queries["enriched_ticks"]
     queries["known_actions_salted"] = queries["known_actions"]
     queries["stream_summary"] = summary(BY_BATCH, "batched")
-    queries["stream_points"] = queries["stored_points"]
+    queries["stream_points"] = queries["store_committed"] = queries["stored_points"]
     queries["stream_dirty_points"] = queries["dirty_points"]
     return queries
