@@ -385,15 +385,10 @@ def _carried(
     for name in ("money", "volume"):
         state[f"_{name}_before"] = before(name, 0.0) if spec.vwap else F.lit(0.0)
     known = summary.withColumns(state)
-    # The latest prices up to the end of each piece. A piece has a row at least, so the rounds suffice.
-    tail = F.col("last_prices")
-    for step in range(math.ceil(math.log2(spec.longest)) if spec.longest > 1 else 0):
-        known = known.withColumn("_tail", tail)
-        older = F.coalesce(F.lag("_tail", 1 << step).over(onward), F.array().cast("array<double>"))
-        joined = F.concat(older, "_tail")
-        tail = F.slice(joined, F.greatest(F.size(joined) - spec.longest + 1, F.lit(1)), spec.longest)
-    known = known.withColumn("_tail", tail)
-    known = known.withColumn("_tail", F.coalesce(F.lag("_tail").over(onward), F.array().cast("array<double>")))
+    # A piece has a row at least, so that many pieces back hold all the prices that the first rows look at.
+    recent = F.flatten(F.collect_list("last_prices").over(onward.rowsBetween(-spec.longest, -1)))
+    known = known.withColumn("_tail", F.coalesce(recent, F.array().cast("array<double>")))
+    known = known.withColumn("_tail", F.slice("_tail", F.greatest(F.size("_tail") - spec.longest + 1, F.lit(1)), spec.longest))
     if not spec.rsi:
         return _apply_heads(known, grouped, spec, head, count).drop(*summary.drop(*grouped).columns, "_tail")
 
