@@ -25,9 +25,10 @@ from tickloom.schema import INDICATOR_FIELDS
 from tickloom.session import scratch_path
 from tickloom.sources import fixtures, store, topics
 from tickloom.sources.ticks import read_events, ticks_from_events
-from tickloom.streaming import health, sinks, subscription_table, subscriptions
+from tickloom.streaming import health, retained, sinks, subscription_table, subscriptions
 from tickloom.streaming.enrich import enrich_stream
 from tickloom.streaming.ordered import enrich_ordered, use_rocksdb, use_state_store
+from tickloom.streaming.routed import route_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,6 +230,31 @@ def _stream_routed(spark: SparkSession, folder: str) -> DataFrame:
     return _per_client(_drained(spark, folder, routed))
 
 
+def _stream_newest(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """The newest ticks of each ticker as a stream keeps them, after its last micro-batch."""
+    before = use_rocksdb(spark)
+    rows = _drained(spark, folder, lambda ticks: retained.newest_stream(validate.valid_ticks(ticks), n))
+    use_state_store(spark, before)
+    return retained.kept_now(rows)
+
+
+def _stream_routed_in_time(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks and actions as two streams that go on together; ticks to who held their ticker, or nothing, when they came."""
+    log = _stored(_log(spark, folder), "log")
+    path = scratch_path(spark, "routed")
+    before = use_rocksdb(spark)
+    for ticks, actions in fixtures.together_in_time([_valid(spark, folder), log], 3):
+        ticks.write.mode("append").parquet(f"{path}/ticks")
+        actions.write.mode("append").parquet(f"{path}/actions")
+        routed = route_stream(
+            spark.readStream.schema(ticks.schema).parquet(f"{path}/ticks"),
+            spark.readStream.schema(actions.schema).parquet(f"{path}/actions"),
+        )
+        sinks.to_files(routed, f"{path}/out", f"{path}/state", drain=True).awaitTermination()
+    use_state_store(spark, before)
+    return _per_client(spark.read.parquet(f"{path}/out"))
+
+
 # --- other compositions --------------------------------------------------------------------------
 
 
@@ -460,6 +486,9 @@ def queries() -> dict[str, Query]:
         "stream_feed": _stream_feed,
         "stream_subscriptions": _stream_subscriptions,
         "stream_routed": _stream_routed,
+        "stream_routed_in_time": _stream_routed_in_time,
+        "stream_newest_n": lambda s, d: _out(_stream_newest(s, d, 25).select("seq", "ticker", "price")),
+        "stream_overwritten": lambda s, d: _stream_newest(s, d, 100).select("ticker", "overwritten").distinct(),
     } | _corpus_queries()
 
 

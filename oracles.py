@@ -548,6 +548,8 @@ SELECT client_id, changes, coalesce(tickers, '') AS tickers FROM changed LEFT JO
     queries["routed_ticks_salted"] = queries["routed_ticks"]
     queries["routed_by_final_sets_salted"] = queries["stream_routed"] = queries["routed_by_final_sets"]
     queries["stream_enriched"] = queries["stream_topics"] = queries["enriched_ticks"]
+    queries["stream_routed_in_time"] = queries["routed_ticks"]
+    queries["stream_newest_n"], queries["stream_overwritten"] = queries["newest_n"], queries["overwritten"]
     queries["known_actions_salted"] = queries["known_actions"]
     queries["stream_summary"] = summary(BY_BATCH, "batched")
     queries["stream_points"] = queries["store_committed"] = queries["stored_points"]

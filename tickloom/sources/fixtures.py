@@ -132,10 +132,16 @@ def closing_event(events: DataFrame) -> DataFrame:
 
 def in_time_order(rows: DataFrame, chunks: int) -> list[DataFrame]:
     """Rows in ``chunks`` of equally long spans of ``ts``."""
+    return [part for (part,) in together_in_time([rows], chunks)]
+
+
+def together_in_time(tables: list[DataFrame], chunks: int) -> list[list[DataFrame]]:
+    """Tables cut at the same moments into ``chunks`` of equally long spans of ``ts``; one list a span."""
     micros = F.unix_micros("ts")
-    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    ends = [table.agg(F.min(micros), F.max(micros)).first() for table in tables]
+    low, high = min(lo for lo, _ in ends), max(hi for _, hi in ends)
     chunk = F.floor((micros - F.lit(low)) * F.lit(chunks) / F.lit(high - low + 1))
-    return [rows.where(chunk == i) for i in range(chunks)]
+    return [[table.where(chunk == i) for table in tables] for i in range(chunks)]
 
 
 def dirty(ticks: DataFrame) -> DataFrame:

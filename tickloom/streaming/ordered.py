@@ -125,8 +125,7 @@ def enrich_ordered(
 
     The session must use the RocksDB state store; see :func:`use_rocksdb`.
     """
-    if ticks.sparkSession.conf.get(_PROVIDER, "") != _ROCKSDB:
-        raise ValueError("reordering keeps its ticks in the RocksDB state store: call use_rocksdb first")
+    require_rocksdb(ticks.sparkSession)
     rows = valid_ticks(ticks).where(F.col("ts").isNotNull())
     added = [T.StructField("tick_no", T.LongType())]
     added += [T.StructField(name, T.DoubleType()) for name in INDICATOR_FIELDS]
@@ -148,6 +147,11 @@ def use_rocksdb(spark: SparkSession) -> str | None:
     return before
 
 
+def require_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get(_PROVIDER, "") != _ROCKSDB:
+        raise ValueError("this stream keeps its state in the RocksDB state store: call use_rocksdb first")
+
+
 def use_state_store(spark: SparkSession, provider: str | None) -> None:
     if provider is None:
         spark.conf.unset(_PROVIDER)
