@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 from itertools import product
 
@@ -87,3 +88,62 @@ def test_corpus_pages_train_the_model(spark):
         body = source[source.index("<article>") : source.index("</article>")]
         assert row.text == MODEL.extract(f"<body>{body}</article></body>")
         break
+
+
+ARTICLE = "<article><h1>A title</h1><p>A first sentence that is long enough. And a second one.</p></article>"
+MAIN = "A title\nA first sentence that is long enough. And a second one."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body>{ARTICLE}</body></html>",
+        f"<html><head><meta charset=utf-8><title>T</title>{ARTICLE}",
+        f"<html><head><title>T</title><template><p>no</p><body>{ARTICLE}",
+        f"<body><svg><path d=M0><text>drawn</text>{ARTICLE}</body>",
+        f"<body><select><option>one<option>two{ARTICLE}</body>",
+        f"<body><a name=top>{ARTICLE}</body>",
+        f"<body><ul class=menu><li><a href=/>Home</ul>{ARTICLE}</body>",
+        f"<body><script>if (a<b && c=\"x) d();</script>{ARTICLE}<p class=\"footer\">Legal.</p></body>",
+        f"<body><div title=5\">{ARTICLE}</div></body>",
+    ],
+)
+def test_omitted_and_broken_ends(page):
+    assert MODEL.extract(page) == MAIN
+
+
+def test_what_stands_inside_a_sentence_does_not_cut_it():
+    body = (
+        "<p>Energy is <math><mi>E</mi><annotation>\\\\E</annotation></math> here, <svg><title>no</title><text>no</text></svg>as "
+        "<script>no()</script>said. And so on.</p>"
+    )
+    assert MODEL.extract(f"<body><article><h1>A title</h1>{body}</article></body>") == "A title\nEnergy is E here, as said. And so on."
+
+
+@pytest.mark.parametrize(
+    "part", ["<a", "<p a=\"", "<p a='", "<!", "<?", "</a", "<a href=x>", "<div><li>", "<p ", "<svg><p>", "<!--", "<script", "<td><tr>", "=\"<"]
+)
+def test_a_megabyte_of_broken_markup_takes_bounded_time(part):
+    began = time.process_time()
+    MODEL.extract(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 60
+
+
+def test_many_open_blocks_before_list_items():
+    began = time.process_time()
+    MODEL.extract("<div>" * 60_000 + "<li>x" * 60_000)
+    assert time.process_time() - began < 60
+
+
+def test_training_pages_are_chosen_by_hash_and_columns_pass(spark):
+    pages = spark.createDataFrame([(i, f"<body>{ARTICLE}<p>{i % 5}</p></body>", "kept") for i in range(40)], "page_id LONG, html STRING, _html STRING")
+    model = H.train(pages, training_pages=3)
+    alone = Counter()
+    for page in H.LABELLED_PAGES:
+        alone.update({cell: H.OWN_WEIGHT * n for cell, n in H.count_page(page).items()})
+    # Five distinct pages; three of them are counted, once each.
+    assert model.counts["kind=article|1"] - alone["kind=article|1"] == 3
+    rows = H.extract(pages, model).collect()
+    assert {(r["_html"], r["text"]) for r in rows} == {("kept", MAIN)} and len(rows) == 40
+    none = H.extract(pages.where("page_id < 0"))
+    assert none.columns == ["page_id", "_html", "text", "n_chars"] and none.count() == 0

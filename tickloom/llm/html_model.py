@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import whole_text
 
@@ -37,7 +39,14 @@ BLOCKS = frozenset(
     "dialog menu hr button select option textarea label legend center".split()
 )
 #: Their text is never shown as text of the page.
-HIDDEN = frozenset("script style head title template noscript svg iframe object textarea select math canvas video audio".split())
+HIDDEN = frozenset(
+    "script style head title template noscript svg foreignobject iframe object textarea select canvas video audio annotation "
+    "annotation-xml".split()
+)
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("head title style script base link meta noscript template object".split())
+#: Open elements of these kinds end where a block begins that cannot be in them.
+LEFT_BY_BLOCKS = {"p": frozenset(), "svg": frozenset(), "select": frozenset(("option", "hr")), "option": frozenset(("option", "hr"))}
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that begins closes open ones of these kinds, up to the given borders.
@@ -53,8 +62,12 @@ CHROME_WORDS = re.compile(
     r"|share|social|related|recommend|breadcrumb|pagination|pager|copyright|legal|(tool|top|bottom)-?bar|skip|tags",
     re.I,
 )
+# Nothing is matched twice, so broken markup takes linear time. A quote counts only behind an equals sign, and only if
+# it is closed; what no > ends goes to the end of the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|data-content)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
@@ -72,34 +85,101 @@ class Node:
     text: str = field(default="", repr=False)
 
 
+class _Open:
+    """The open elements, and where those of each kind stand."""
+
+    def __init__(self) -> None:
+        self.stack = [(0, "")]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.hidden = 0
+
+    @property
+    def top(self) -> str:
+        return self.stack[-1][1]
+
+    def push(self, node: int, name: str) -> None:
+        self.places[name].append(len(self.stack))
+        self.stack.append((node, name))
+        self.hidden += name in HIDDEN
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop()[1]
+            self.places[name].pop()
+            self.hidden -= name in HIDDEN
+
+    def nearest(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close(self, name: str) -> None:
+        depth = self.nearest(name)
+        if depth:
+            self.pop_to(depth)
+
+    def close_for(self, name: str) -> None:
+        """Close what the beginning of an element ends."""
+        if self.nearest("head") and name not in IN_HEAD and (self.top == "head" or name == "body"):
+            self.close("head")
+        while name in BLOCKS and name not in LEFT_BY_BLOCKS.get(self.top, BLOCKS):
+            self.pop_to(len(self.stack) - 1)
+        if name in CLOSES:
+            kinds, borders = CLOSES[name]
+            border = max(map(self.nearest, borders))
+            inside = []
+            for kind in kinds:
+                places = self.places.get(kind, [])
+                inside += places[bisect_right(places, border) :][:1]
+            if inside:
+                self.pop_to(min(inside))
+
+
+class _Links:
+    """Whether text is link text. A link without an end ends with its block."""
+
+    _BEGIN, _END = re.compile(r"<a\s", re.I), re.compile(r"</a[\s>]", re.I)
+
+    def __init__(self, page: str) -> None:
+        self.page, self.inside, self.closed = page, False, False
+        self.next = {self._BEGIN: -1, self._END: -1}
+
+    def _after(self, pattern: re.Pattern[str], at: int) -> int:
+        if self.next[pattern] < at:
+            found = pattern.search(self.page, at)
+            self.next[pattern] = found.start() if found else len(self.page)
+        return self.next[pattern]
+
+    def begin(self, at: int, attributes: str) -> None:
+        self.inside = "href" in attributes.lower()
+        end = self._after(self._END, at)
+        self.closed = end < len(self.page) and end < self._after(self._BEGIN, at)
+
+    def at_block(self) -> None:
+        self.inside = self.inside and self.closed
+
+
 def tree_of(page: str) -> list[Node]:
     """Nodes in page order, parents before children; node 0 is the page."""
-    nodes, stack = [Node(-1, "page")], [(0, "")]
+    nodes, opened, links = [Node(-1, "page")], _Open(), _Links(page)
     leaf: Node | None = None
-    links, hidden, raw_end = 0, 0, ""
     at = 0
 
     def add_text(raw: str) -> None:
         nonlocal leaf
-        if hidden or not raw:
+        if opened.top == "head" and raw.strip():
+            opened.close("head")
+        if opened.hidden or not raw:
             return
         if leaf is None:
             if not raw.strip():
                 return
-            leaf = Node(stack[-1][0], "text", parts=[])
+            leaf = Node(opened.stack[-1][0], "text", parts=[])
             nodes.append(leaf)
         leaf.parts.append(raw)
-        if links:
+        if links.inside:
             leaf.link_chars += len(raw)
 
-    def pop_to(depth: int) -> None:
-        nonlocal hidden
-        while len(stack) > depth:
-            hidden -= stack.pop()[1] in HIDDEN
-
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
-            continue
+    while (token := _TOKEN.search(page, at)) is not None:
         add_text(page[at : token.start()])
         at = token.end()
         name = (token.group(1) or "").lower()
@@ -107,40 +187,33 @@ def tree_of(page: str) -> list[Node]:
             continue
         if token.group(0)[1] == "/":
             if name == "a":
-                links = 0
+                links.inside = False
             elif name in BLOCKS or name in HIDDEN:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == name), 0)
-                if depth:
-                    pop_to(depth)
-                leaf = None
+                opened.close(name)
+                if name in BLOCKS:
+                    leaf = None
+                    links.at_block()
             continue
         if name == "a":
-            links = 1
+            links.begin(at, token.group(2))
         if name == "br":
             add_text(" ")
+        opened.close_for(name)
         if name not in BLOCKS and name not in HIDDEN:
             continue
-        leaf = None
-        if name in BLOCKS and stack[-1][1] == "p":
-            pop_to(len(stack) - 1)
-        if name in CLOSES:
-            kinds, borders = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in borders:
-                    break
-                if stack[k][1] in kinds:
-                    pop_to(k)
+        if name in BLOCKS:
+            leaf = None
+            links.at_block()
         if name in VOID or token.group(2).endswith("/"):
             continue
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(token.group(2))} if token.group(2) else {}
         names = " ".join(found.get(k, "") for k in ("class", "id", "role")) if found else ""
-        nodes.append(Node(stack[-1][0], name, names, mark=found.get("data-content", "")))
-        stack.append((len(nodes) - 1, name))
-        hidden += name in HIDDEN
+        nodes.append(Node(opened.stack[-1][0], name, names, mark=found.get("data-content", "")))
+        opened.push(len(nodes) - 1, name)
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}\s*+>", re.I).search(page, at)
             at = close.end() if close else len(page)
-            pop_to(len(stack) - 1)
+            opened.pop_to(len(opened.stack) - 1)
     add_text(page[at:])
     for node in nodes:
         if node.parts is not None:
@@ -330,9 +403,15 @@ LABELLED_PAGES = tuple(
 
 
 def train(pages: DataFrame, training_pages: int = TRAINING_PAGES, html_col: str = "html") -> Model:
-    """A model from the pages written down here and from at most ``training_pages`` marked pages of ``pages``."""
+    """A model from the pages written down here and from at most ``training_pages`` marked pages of ``pages``.
+
+    Those with the smallest hashes are taken, equal pages once. The hashes are chosen first, so that no page moves
+    that is not trained on.
+    """
     marked = pages.select(whole_text(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    chosen = marked.select("html", F.xxhash64("html").alias("at")).orderBy("at").limit(training_pages).select("html")
+    marked = marked.withColumn("at", F.xxhash64("html"))
+    last = marked.select("at").distinct().orderBy("at").limit(training_pages).agg(F.max("at")).first()[0]
+    chosen = marked.where(F.col("at") <= F.lit(last).cast("long")).groupBy("at").agg(F.first("html").alias("html")).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -357,8 +436,9 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
     model = model or train(pages, html_col=html_col)
     counts = model.counts
     kept = [name for name in pages.columns if name not in (html_col, "text", "n_chars")]
-    wanted = pages.select(*[F.col(name) for name in kept], whole_text(html_col).alias("_html"))
-    schema = wanted.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    # The page comes last; columns are told apart by place, so any other name may be there.
+    wanted = pages.select(*[F.col(f"`{name}`") for name in kept], whole_text(html_col))
+    schema = StructType([pages.schema[name] for name in kept]).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(counts)
