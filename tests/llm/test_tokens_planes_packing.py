@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tickloom.llm import bitplanes, bm25_packing
+from tickloom.llm import bitplanes, bm25_packing, token_ids
 from tickloom.llm.common import file_system
 from tickloom.llm.token_ids import encoder
 from tickloom.session import scratch_path
@@ -20,18 +20,18 @@ WORD, BYTE = (public_tokenizers.path(f"{name}.json") for name in ("word_bpe_49k"
 
 
 @lru_cache
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, plain_names: bool = False) -> Tokenizer:
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = plain_names
     return found
 
 
-def plain(path: str, text: str) -> list[int]:
-    return tokenizer(path).encode(text, add_special_tokens=False).ids
+def plain(path: str, text: str, plain_names: bool = False) -> list[int]:
+    return tokenizer(path, plain_names).encode(text, add_special_tokens=False).ids
 
 
-def by_pieces(path: str, spaces: str, texts: list[str | None]) -> list[list[int]]:
-    ids, bounds = encoder(path, spaces).batch(pa.array(texts, pa.string()))
+def by_pieces(path: str, spaces: str, texts: list[str | None], plain_names: bool = False) -> list[list[int]]:
+    ids, bounds = encoder(path, spaces, plain_names).batch(pa.array(texts, pa.string()))
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
@@ -41,6 +41,24 @@ def test_pieces_give_the_ids_of_the_whole_text(path, spaces, odd_texts):
     assert by_pieces(path, spaces, odd_texts) == [plain(path, text) for text in texts]
 
 
+@pytest.mark.parametrize("plain_names", [False, True])
+@pytest.mark.parametrize("path, spaces", [(WORD, "dropped"), (BYTE, "joined")])
+def test_names_of_special_tokens(path, spaces, plain_names):
+    names = [token.content for token in tokenizer(path).get_added_tokens_decoder().values()]
+    texts = [text for name in names for text in (name, f"hello {name} world", f"x{name}.", f"a  {name}\n{name}b", name.upper())]
+    got = by_pieces(path, spaces, texts, plain_names)
+    assert got == [plain(path, text, plain_names) for text in texts] and names
+
+
+def test_known_pieces_are_forgotten_when_there_are_many(monkeypatch):
+    monkeypatch.setattr(token_ids, "KEPT_PIECES", 6)
+    monkeypatch.setattr(token_ids, "SLICE_BYTES", 20)
+    texts = ["some words here.", "other words there, again", "some words here.", "", "again!! and (again)"]
+    for path, spaces in ((WORD, "dropped"), (BYTE, "joined")):
+        ids, bounds = token_ids.Encoder(path, spaces).batch(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain(path, text) for text in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abS' .,\n\t!é́🙂1<| ß", max_size=30), max_size=4))
 def test_pieces_on_random_texts(texts):

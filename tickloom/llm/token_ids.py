@@ -8,6 +8,7 @@ Latin letter and the ASCII marks that end the word; the tokenizers named below n
 from __future__ import annotations
 
 import os
+import re
 import string
 from array import array
 from functools import lru_cache
@@ -18,48 +19,100 @@ import pyarrow.compute as pc
 
 #: ASCII marks without the apostrophe, which contractions join to letters.
 MARKS = string.punctuation.replace("'", "")
+#: Latin letters before U+0250.
+_LETTER = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]"
+_STEM_AND_MARKS = rf"{_LETTER}[{re.escape(MARKS)}]+\z"
 #: A worker keeps the ids of so many pieces; beyond, it starts anew.
 KEPT_PIECES = 1_000_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
 SLICE_BYTES = 4 << 20
 
 
+class _Lists:
+    """Lists of ids behind each other: list ``k`` is ``flat[begins[k]:begins[k + 1]]``."""
+
+    def __init__(self, flat: np.ndarray, begins: np.ndarray) -> None:
+        self.flat, self.begins = flat, begins
+
+    @classmethod
+    def of(cls, lists: list[bytes]) -> _Lists:
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        return cls(np.frombuffer(b"".join(lists), np.uint32), np.concatenate(([0], np.cumsum(lengths))))
+
+    def __add__(self, other: _Lists) -> _Lists:
+        begins = np.concatenate((self.begins, other.begins[1:] + self.begins[-1]))
+        return _Lists(np.concatenate((self.flat, other.flat)), begins)
+
+    def gather(self, codes: np.ndarray, bounds: np.ndarray) -> _Lists:
+        """New lists, the ``k``-th made of the lists ``codes[bounds[k]:bounds[k + 1]]``."""
+        each = np.diff(self.begins)[codes]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        at = np.arange(ends[-1]) + np.repeat(self.begins[codes] - ends[:-1], each)
+        return _Lists(self.flat[at], ends[bounds])
+
+
 class Encoder:
     """``spaces`` tells what the tokenizer does with the space before a word.
 
     * ``"joined"``: it belongs to the word (byte-level BPE);
     * ``"dropped"``: it only separates words.
 
-    Names of special tokens inside a text are ordinary text. Ids come as ``uint32``.
+    The name of a special token inside a text gives that token, as the library does it, or is ordinary text with
+    ``plain_names``. Ids come as ``uint32``.
     """
 
-    def __init__(self, path: str, spaces: str) -> None:
+    def __init__(self, path: str, spaces: str, plain_names: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if spaces not in ("joined", "dropped"):
             raise ValueError(f"spaces is 'joined' or 'dropped', not {spaces!r}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_names
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        names = [token.content for token in added if token.content and not (plain_names and token.special)]
+        #: Texts with such a name are encoded whole.
+        self.names = "|".join(f"(?:{re.escape(name)})" for name in names)
         self.joined = spaces == "joined"
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([""], pa.large_string())
+        self.ids = _Lists(np.empty(0, np.uint32), np.zeros(2, np.int64))
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes, straight from the tokenizer."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", one.ids).tobytes() for one in found]
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [_stem_and_marks(piece) for piece in pieces]
-        missing = list({part for both in parts for part in both if part not in self.known})
-        if len(self.known) + len(missing) > KEPT_PIECES:
-            self.known.clear()
-            missing = list({part for both in parts for part in both})
-        for at in range(0, len(missing), 20_000):
-            block = missing[at : at + 20_000]
-            self.known.update(zip(block, self.direct(block)))
-        known = self.known
-        return [known[both[0]] if len(both) == 1 else known[both[0]] + known[both[1]] for both in parts]
+        found = []
+        for at in range(0, len(texts), 20_000):
+            some = self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)
+            found += [array("I", one.ids).tobytes() for one in some]
+        return found
+
+    def _of_pieces(self, pieces: pa.Array) -> _Lists:
+        """Ids of each piece. What the worker knows already is looked up; only new parts reach the tokenizer."""
+        split = pc.match_substring_regex(pieces, _STEM_AND_MARKS)
+        stems = pc.if_else(split, pc.utf8_rtrim(pieces, MARKS), pieces)
+        cut = pc.filter(pieces, split)
+        marks = pc.replace_substring_regex(cut, rf"(?s)\A.*{_LETTER}", "")
+        coded = pc.dictionary_encode(pa.concat_arrays([stems, marks]))
+        parts = coded.dictionary
+        places = pc.index_in(parts, value_set=self.known)
+        if len(self.known) + places.null_count > KEPT_PIECES:
+            self._forget()
+            places = pc.index_in(parts, value_set=self.known)
+        if places.null_count:
+            unknown = pc.is_null(places)
+            missing = pc.filter(parts, unknown)
+            fresh = np.cumsum(unknown.to_numpy(zero_copy_only=False)) - 1 + len(self.known)
+            places = pc.if_else(unknown, pa.array(fresh, pa.int64()), places.cast(pa.int64()))
+            self.ids = self.ids + _Lists.of(self.direct(missing.to_pylist()))
+            self.known = pa.concat_arrays([self.known, missing])
+        codes = places.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        # Two parts a piece; the second is the empty one, at place 0, where a piece was not cut.
+        both = np.zeros((len(pieces), 2), np.int64)
+        both[:, 0] = codes[: len(pieces)]
+        both[split.to_numpy(zero_copy_only=False), 1] = codes[len(pieces) :]
+        return self.ids.gather(both.ravel(), np.arange(0, 2 * len(pieces) + 1, 2))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (one more entry for the end)."""
@@ -69,67 +122,49 @@ class Encoder:
         found, bounds, at = [], [np.zeros(1, np.int64)], 0
         for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
             if lo < hi:
-                ids, own = self._slice(texts.slice(lo, hi - lo))
-                found.append(ids)
-                bounds.append(own[1:] + at)
-                at += len(ids)
+                own = self._slice(texts.slice(lo, hi - lo))
+                found.append(own.flat)
+                bounds.append(own.begins[1:] + at)
+                at += len(own.flat)
         return (np.concatenate(found) if found else np.empty(0, np.uint32)), np.concatenate(bounds)
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _slice(self, texts: pa.Array) -> _Lists:
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         coded = pc.dictionary_encode(lists.flatten())
         codes = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
+        whole = np.zeros(len(texts), bool)
+        if self.names:
+            whole |= pc.match_substring_regex(texts, self.names, ignore_case=True).to_numpy(zero_copy_only=False)
         if self.joined:
-            return self._joined(texts, bounds, codes, words)
-        return _gather(self._of_pieces(words), codes, bounds)
-
-    def _joined(self, texts, bounds, codes, words) -> tuple[np.ndarray, np.ndarray]:
-        # The first piece of a text has no space before it; it gets a code of its own.
-        heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
-        unsafe = np.array([not word or word.strip() is not word for word in words], bool)
-        # Next to other white space a cut at a space is not safe: such texts are encoded whole.
-        whole = np.add.reduceat(unsafe[codes].astype(np.int64), bounds[:-1]) > 0
-        codes[bounds[:-1]] = len(words) + head_codes
-        table = self._of_pieces([" " + word for word in words] + [words[head] for head in heads])
+            # Next to other white space a cut at a space is not safe.
+            unsafe = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_trim_whitespace(words), words))
+            whole |= np.add.reduceat(unsafe.to_numpy(zero_copy_only=False)[codes].astype(np.int64), bounds[:-1]) > 0
+            # The first piece of a text has no space before it; it gets a code of its own.
+            heads, head_codes = np.unique(codes[bounds[:-1]], return_inverse=True)
+            codes[bounds[:-1]] = len(words) + head_codes
+            spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+            words = pa.concat_arrays([spaced, words.take(pa.array(heads))])
+        table = self._of_pieces(words)
         if whole.any():
             rows = np.flatnonzero(whole)
             pieces = np.diff(bounds)
             keep = np.repeat(~whole, pieces)
             keep[bounds[rows]] = True
-            codes[bounds[rows]] = len(table) + np.arange(len(rows))
-            table = table + self.direct(texts.take(pa.array(rows)).to_pylist())
+            codes[bounds[rows]] = len(words) + np.arange(len(rows))
+            table = table + _Lists.of(self.direct(texts.take(pa.array(rows)).to_pylist()))
             codes = codes[keep]
             pieces[rows] = 1
             bounds = np.concatenate(([0], np.cumsum(pieces)))
-        return _gather(table, codes, bounds)
-
-
-def _stem_and_marks(piece: str) -> tuple[str, ...]:
-    if piece[-1:].isalpha():
-        return (piece,)
-    stem = piece.rstrip(MARKS)
-    if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1] < "ɐ":
-        return stem, piece[len(stem) :]
-    return (piece,)
-
-
-def _gather(table: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(b"".join(table), np.uint32)
-    lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-    begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    each = lengths[codes]
-    ends = np.cumsum(each)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)
-    return flat[at], np.concatenate(([0], ends))[bounds]
+        return table.gather(codes, bounds)
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, plain_names: bool = False) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(path, spaces)
+    return Encoder(path, spaces, plain_names)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
