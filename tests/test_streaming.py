@@ -134,6 +134,27 @@ def test_feed(spark, tmp_path, chunks):
     assert {r["client_id"]: r["tickers"] for r in subscription_lists(log).collect()}["one"] == rows[-1][2]
 
 
+def test_feed_of_many_clients_keeps_few_states(spark, tmp_path, chunks):
+    actions = [(f"c{i}", "open", None) for i in range(40)] + [(f"c{i % 40}", "subscribe", ["AB"[i % 3 % 2]]) for i in range(200)]
+    actions += [(f"c{i}", "close", None) for i in range(0, 40, 2)] + [(f"c{i}", "unsubscribe", ["B"]) for i in range(40)]
+    log, out = log_of(spark, actions), str(tmp_path / "out")
+    feed = subscription_feed(stream_of(spark, chunks(log, [0, 130, 250, 300]), LOG), buckets=4)
+    query = sinks.to_files(feed, out, str(tmp_path / "state"), drain=True)
+    query.awaitTermination()
+    held, want = {}, []
+    for seq, (client, action, tickers) in enumerate(actions):
+        if action == "open":
+            held[client] = set()
+        elif action == "close":
+            del held[client]
+        elif client in held:
+            held[client] = held[client] | set(tickers) if action == "subscribe" else held[client] - set(tickers)
+            want.append((client, seq, sorted(held[client])))
+    rows = spark.read.schema(feed.schema).parquet(out).orderBy("seq").collect()
+    assert [(r["client_id"], r["seq"], r["tickers"]) for r in rows] == want
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 4
+
+
 def test_health(spark, make_ticks, chunks, tmp_path):
     ticks = make_ticks([("A", 1.0), (None, 1.0), ("B", 0.0), ("B", 2.0)])
     listener = health.HealthListener()
