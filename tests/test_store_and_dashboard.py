@@ -31,6 +31,13 @@ def test_points_need_ticker_and_price_only(make_ticks, spark):
     assert [(p["seq"], p["source"], p["volume"], p["vwap"]) for p in points] == [(0, "unknown", 0, None), (3, "unknown", 0, 1.0)]
 
 
+def test_wide_form_moves_rows_once_and_keeps_none_back(make_ticks):
+    plan = reshape.to_wide(reshape.to_long(reshape.to_points(make_ticks([("A", 1.0), ("B", 2.0)]))))
+    lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [at for at, line in enumerate(lines) if "Exchange" in line]
+    assert len(moved) == 1 and not any("Aggregate" in line for line in lines[moved[0] :])
+
+
 def test_long_and_back(make_ticks):
     points = reshape.to_points(enrich(make_ticks([("A", 100.0 + i) for i in range(55)])))
     long = reshape.to_long(points)

@@ -41,5 +41,11 @@ def to_long(points: DataFrame, fields: tuple[str, ...] = POINT_FIELDS) -> DataFr
 
 
 def to_wide(long: DataFrame, fields: tuple[str, ...] = POINT_FIELDS) -> DataFrame:
-    """Fields as columns again; the field list is fixed, so no extra job looks for it."""
-    return long.groupBy(*POINT_KEYS).pivot("field", list(fields)).agg(F.first("value"))
+    """Fields as columns again; the field list is fixed, so no extra job looks for it.
+
+    The rows go to their point's partition as they are: a point has each field once, so counting them up beforehand
+    would keep every row of a task in a hash table and make none fewer.
+    """
+    placed = long.repartition(*POINT_KEYS)
+    values = [F.first(F.when(F.col("field") == name, F.col("value")), ignorenulls=True).alias(name) for name in fields]
+    return placed.groupBy(*POINT_KEYS).agg(*values)
