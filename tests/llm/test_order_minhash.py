@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,3 +200,15 @@ def test_components(spark):
     nodes = {i for a, b in links if a != b for i in (a, b)}
     assert set(found) == nodes
     assert len({(found[i], find(i)) for i in nodes}) == len({found[i] for i in nodes}) == len({find(i) for i in nodes})
+
+
+def test_bound_tells_long_texts_with_many_other_words_apart():
+    rng = np.random.default_rng(5)
+    first = [f"w{i}" for i in rng.integers(0, 50_000, 800)]
+    second = [f"v{i}" if rng.random() < 0.35 else word for i, word in enumerate(first)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([" ".join(first), " ".join(second)])], ["node", "text"])
+    (bags,) = O._bags(iter([batch]))
+    bags = np.frombuffer(b"".join(bags.column("bag").to_pylist()), np.uint8).reshape(2, -1)
+    none = np.zeros(2, bool)
+    a, b = O.possible_pairs(np.array([800, 800]), np.arange(2), bags, none.astype(int), none, 0.8)
+    assert not len(a) and O.edit_distance(first, second, 160) is None

@@ -51,11 +51,13 @@ SIMILARITY, RECALL, MOST_SKETCHES = 0.8, 0.99, 72
 CHOICES = ((5, 2), (3, 2), (2, 3), (1, 4), (1, 3), (1, 2), (1, 1))
 SHORT, FAR = 31, 400
 LEADERS = 4
-#: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs.
-BLOCK, BINS = 1024, 64
+#: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs; a
+#: first look at pairs takes the counts folded to fewer bins.
+BLOCK, BINS, FOLDED = 1024, 512, 64
 SKETCH = "node LONG, n LONG, bucket LONG"
-_CELLS = 1 << 20
+_CELLS = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,10 +131,16 @@ def order_sketches(runs: np.ndarray, picked: int, seeds: np.ndarray) -> np.ndarr
     step = max(1, _CELLS // max(1, len(runs)))  # so that a very long text takes no more memory than a batch
     for lo in range(0, len(seeds), step):
         some = seeds[lo : lo + step, None]
-        values = (runs[None, :] ^ some) * (some | np.uint64(1))
+        values = runs[None, :] ^ some
+        values *= some | np.uint64(1)
         values ^= values >> np.uint64(32)
         values *= _ODD
-        at[lo : lo + step] = np.argpartition(values, picked - 1, axis=1)[:, :picked] if picked < len(runs) else np.arange(len(runs))
+        # A few passes for the smallest value, the next one and so on; cheaper than dividing the rows.
+        rows = np.arange(len(values))
+        for turn in range(picked):
+            least = values.argmin(axis=1)
+            at[lo : lo + step, turn] = least
+            values[rows, least] = _LAST
     at.sort(axis=1)
     out = seeds.copy()
     for column in range(picked):
@@ -261,6 +269,7 @@ def possible_pairs(n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.
     lefts, rights = [], []
     bags = bags.astype(np.int16)
     totals = bags.sum(axis=1, dtype=np.int64)
+    folded = bags.reshape(len(bags), -1, FOLDED).sum(axis=1, dtype=np.int32)
     two = part.min() != part.max()
     for i in np.flatnonzero(~guest):
         ok = (label != label[i]) & (guest | (np.arange(len(n)) > i))
@@ -270,8 +279,9 @@ def possible_pairs(n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.
         at = np.flatnonzero(ok & (np.abs(n - n[i]) <= most))
         if not len(at):
             continue
-        apart = np.abs(bags[at] - bags[i]).sum(axis=1, dtype=np.int64) + np.abs(totals[at] - totals[i])
-        at = at[apart <= 2 * most[at]]
+        for counts in (folded, bags):
+            apart = np.abs(counts[at] - counts[i]).sum(axis=1, dtype=np.int64) + np.abs(totals[at] - totals[i])
+            at = at[apart <= 2 * most[at]]
         lefts.append(np.full(len(at), i))
         rights.append(at)
     if not lefts:
