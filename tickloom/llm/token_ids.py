@@ -25,7 +25,9 @@ _STEM_AND_MARKS = rf"{_LETTER}[{re.escape(MARKS)}]+\z"
 #: A worker keeps the ids of so many pieces; beyond, it starts anew.
 KEPT_PIECES = 1_000_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Texts handed to the tokenizer at once: what it returns takes a kilobyte or so for each, until the ids are out of it.
+ENCODED_AT_ONCE = 2_000
 
 
 class _Lists:
@@ -83,8 +85,8 @@ class Encoder:
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes, straight from the tokenizer."""
         found = []
-        for at in range(0, len(texts), 20_000):
-            some = self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)
+        for at in range(0, len(texts), ENCODED_AT_ONCE):
+            some = self.tokenizer.encode_batch_fast(texts[at : at + ENCODED_AT_ONCE], add_special_tokens=False)
             found += [array("I", one.ids).tobytes() for one in some]
         return found
 
