@@ -66,3 +66,21 @@ def test_empty(spark):
     path = scratch_path(spark, "warc")
     W.write_archives(pages, path)
     assert W.captures(W.read_records(spark, path)).count() == 0
+
+
+def test_request_and_metadata_share_one_reading(spark):
+    """The archives are read for the main records and once more for both kinds beside them."""
+    path, _ = captured(spark, [(1, "a", "x"), (2, "b", "x")])
+    plan = W.captures(W.read_records(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_repeated_and_missing_records(spark):
+    rows = [("m1", "response", None), ("m2", "revisit", None), ("r1", "request", "m1"), ("r2", "request", "m1"), ("x1", "metadata", "m1"),
+            ("x2", "metadata", "m1"), ("x3", "metadata", "m1"), ("r3", "request", "none"), ("r4", "request", None)]
+    full = [(i, kind, "u", "d", to, None, None, None, None, None) for i, kind, to in rows]
+    found = W.captures(spark.createDataFrame(full, W.RECORD)).collect()
+    got = sorted((r.capture_id, r.request and r.request.record_id, r.metadata and r.metadata.record_id) for r in found if r.capture_id == "m1")
+    assert got == [("m1", r, x) for r in ("r1", "r2") for x in ("x1", "x2", "x3")]
+    (other,) = [r for r in found if r.capture_id == "m2"]
+    assert other.request is None and other.metadata is None and len(found) == 7

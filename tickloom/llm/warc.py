@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import file_system, known_join, saved, whole_text
@@ -210,12 +210,14 @@ def captures(records: DataFrame) -> DataFrame:
         F.struct("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload").alias("response"),
     )
 
-    def beside(kind: str) -> DataFrame:
-        rows = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return rows.select(
-            F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri", "date", "fields").alias(kind)
-        )
+    # One reading of the archives for both kinds, whose rows are small; every request meets every metadata record.
+    def listed(kind: str) -> Column:
+        return F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "target_uri", "date", "fields"))).alias(kind)
 
+    beside = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
+    beside = beside.groupBy(F.col("concurrent_to").alias("capture_id")).agg(listed("request"), listed("metadata"))
     # Parsed records look small to the planner, which only sees the manifest; they must not be broadcast.
-    request, metadata = beside("request").hint("merge"), beside("metadata").hint("merge")
-    return main.join(request, "capture_id", "left").join(metadata, "capture_id", "left")
+    joined = main.join(beside.hint("merge"), "capture_id", "left")
+    for kind in ("request", "metadata"):
+        joined = joined.withColumn(kind, F.explode_outer(kind))
+    return joined
