@@ -50,6 +50,34 @@ def test_names_of_special_tokens(path, spaces, plain_names):
     assert got == [plain(path, text, plain_names) for text in texts] and names
 
 
+@pytest.mark.parametrize("path, spaces", [(WORD, "dropped"), (BYTE, "joined")])
+def test_runs_of_letters_go_to_the_model(path, spaces, monkeypatch):
+    own = token_ids.Encoder(path, spaces)
+    odd = ["ÀÉñ", "İstanbul", "ªµº", "ÿŸ", "straße", "e\u0301te", "Ωmega", "x²", "don't", "A'S", "½", "o'Neill's", "a\n", "\nb", "a\nb", "a.\nB,", "a\n\nb",
+           "ends.\nThat", "a-b", "été.\nÉté", "a\r\nb", "a_b", "日本", "", "a.'s", "é\u0327", "ß\nß", "ÖÖ!?\nx", "…end", "a\u00a0b", "a\u0085b", "x×y", "LL\n'll"]
+    rng = np.random.default_rng(3)
+    letters = [*"abzAZéÖß", "İ", "ŉ", "'", ".", "\n", "1", "x", "s", "e", " "]
+    texts = odd + [" ".join(odd), " ".join(reversed(odd))] + ["".join(rng.choice(letters, 12)) for _ in range(2000)]
+    ids, bounds = own.batch(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain(path, text) for text in texts]
+    asked = []
+    monkeypatch.setattr(own, "direct", lambda pieces: asked.extend(pieces) or [b""] * len(pieces))
+    own.batch(pa.array(["entirely newish, wördings\nand lines. (Cats) 12"]))
+    assert not [piece for piece in asked if piece.strip().isalpha() or "\n" in piece]
+
+
+def test_pieces_seen_again_stay_known(monkeypatch):
+    monkeypatch.setattr(token_ids, "KEPT_PIECES", 20)
+    own = token_ids.Encoder(WORD, "dropped")
+    missed = []
+    encoded = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda pieces: missed.extend(pieces) or encoded(pieces))
+    for k in range(30):
+        own.batch(pa.array([f"often n{k}x"]))
+        assert len(own.known) + len(own.older) <= 24
+    assert missed.count("often") == 1
+
+
 def test_known_pieces_are_forgotten_when_there_are_many(monkeypatch):
     monkeypatch.setattr(token_ids, "KEPT_PIECES", 6)
     monkeypatch.setattr(token_ids, "SLICE_BYTES", 20)

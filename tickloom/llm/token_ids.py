@@ -3,10 +3,15 @@
 A tokenizer cuts a text into pre-tokens and works on each alone, so the ids of a text are those of its
 pieces as long as no pre-token crosses a cut. Cuts are made at single spaces and, within a word, between a
 Latin letter and the ASCII marks that end the word; the tokenizers named below never cross either.
+
+Most pieces are runs of letters up to U+00FF, or two of them with a line end between. Where the tokenizer's steps
+before its model are known to make one pre-token of such a run, changing nothing but lower case and the signs for
+bytes, it goes to the model at once: those steps take most of the time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -19,15 +24,29 @@ import pyarrow.compute as pc
 
 #: ASCII marks without the apostrophe, which contractions join to letters.
 MARKS = string.punctuation.replace("'", "")
-#: Latin letters before U+0250.
-_LETTER = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]"
+#: Latin letters before U+0250, without the dotted capital I, whose lower case ends in a mark.
+_LETTER = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]"
 _STEM_AND_MARKS = rf"{_LETTER}[{re.escape(MARKS)}]+\z"
-#: A worker keeps the ids of so many pieces; beyond, it starts anew.
-KEPT_PIECES = 1_000_000
+#: A worker keeps the ids of so many pieces; beyond, those go that were not seen for long.
+KEPT_PIECES = 600_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
 SLICE_BYTES = 1 << 20
 #: Texts handed to the tokenizer at once: what it returns takes a kilobyte or so for each, until the ids are out of it.
 ENCODED_AT_ONCE = 2_000
+#: Steps of a tokenizer, with their settings, that keep a run of letters up to U+00FF together.
+_KEEPING = (
+    {"type": "NFC"}, {"type": "Lowercase"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+)
+#: How byte-level tokenizers write a space, a line end and the two bytes of each letter from U+00C0 on.
+_SPACE, _LINE_END = "\u0120", "\u010a"
+_SIGNS = {ord(sign): sign.encode() for sign in map(chr, range(0x80, 0x100))}
+_BYTES = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SIGNS = {sign: "".join(chr(256 + _BYTES.index(b)) if b in _BYTES else chr(b) for b in two) for sign, two in _SIGNS.items()}
+#: A run of letters, the marks behind it and, in the next line, another run.
+_OVER_LINES = re.compile(rf"( ?)([^\W\d_]+)([{re.escape(MARKS)}]*)\n([^\W\d_]+)")
 
 
 class _Lists:
@@ -53,6 +72,26 @@ class _Lists:
         return _Lists(self.flat[at], ends[bounds])
 
 
+def _steps(config: dict | None, inner: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, without the setting that only shifts offsets."""
+    if config is None:
+        return []
+    if config["type"] == "Sequence":
+        return [step for one in config[inner] for step in _steps(one, inner)]
+    return [{name: value for name, value in config.items() if name != "trim_offsets"}]
+
+
+def _keep_letters(before: list[dict], cuts: list[dict], joined: bool) -> bool:
+    """Whether the steps make one pre-token of a run of letters, with the space before it if they join it."""
+    if any(step not in _KEEPING for step in before + cuts):
+        return False
+    return bool(cuts) and cuts[-1]["type"] == "ByteLevel" and not (joined and any(step["type"] == "Split" for step in cuts))
+
+
+def _is_run(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
 class Encoder:
     """``spaces`` tells what the tokenizer does with the space before a word.
 
@@ -76,11 +115,15 @@ class Encoder:
         #: Texts with such a name are encoded whole.
         self.names = "|".join(f"(?:{re.escape(name)})" for name in names)
         self.joined = spaces == "joined"
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = pa.array([""], pa.large_string())
-        self.ids = _Lists(np.empty(0, np.uint32), np.zeros(2, np.int64))
+        config = json.loads(self.tokenizer.to_str())
+        steps = [_steps(config["normalizer"], "normalizers"), _steps(config["pre_tokenizer"], "pretokenizers")]
+        #: Whether runs of letters may go to the model, and whether in lower case.
+        self.letters = _keep_letters(*steps, self.joined)
+        self.lower = {"type": "Lowercase"} in steps[0]
+        self.model = self.tokenizer.model
+        # Pieces met since the last change, and those met before it.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes, straight from the tokenizer."""
@@ -90,31 +133,64 @@ class Encoder:
             found += [array("I", one.ids).tobytes() for one in some]
         return found
 
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The same as :meth:`direct` for pieces without names; runs of letters skip the steps before the model."""
+        if not self.letters:
+            return self.direct(pieces)
+        found: list[bytes] = [b""] * len(pieces)
+        rest, tokenize, run = [], self.model.tokenize, self._run
+        for k, piece in enumerate(pieces):
+            spaced = self.joined and piece[:1] == " "
+            word = piece[1:] if spaced else piece
+            if _is_run(word):
+                found[k] = array("I", [one.id for one in tokenize(run(spaced, word))]).tobytes()
+            elif (over := _OVER_LINES.fullmatch(piece)) and _is_run(over[2]) and _is_run(over[4]):
+                line_end = (_LINE_END,) if self.joined else ()
+                parts = (run(spaced, over[2]), *([over[3]] if over[3] else []), *line_end, run(False, over[4]))
+                found[k] = array("I", [one.id for part in parts for one in tokenize(part)]).tobytes()
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self.direct([pieces[k] for k in rest])):
+            found[k] = ids
+        return found
+
+    def _run(self, spaced: bool, word: str) -> str:
+        """A run of letters as the model gets it."""
+        word = word.lower() if self.lower else word
+        word = word if word.isascii() else word.translate(_SIGNS)
+        return _SPACE + word if spaced else word
+
+    def _looked_up(self, parts: list[str]) -> _Lists:
+        """Ids of different parts. What the worker knows already is looked up."""
+        found = list(map(self.known.get, parts))
+        missing = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            ids = self.older.get(parts[k])
+            if ids is None:
+                missing.append(k)
+            else:
+                found[k] = self.known[parts[k]] = ids
+        for k, ids in zip(missing, self._encoded([parts[k] for k in missing])):
+            found[k] = self.known[parts[k]] = ids
+        if len(self.known) > KEPT_PIECES // 2:
+            self.known, self.older = {}, self.known
+        return _Lists.of([b"", *found])
+
     def _of_pieces(self, pieces: pa.Array) -> _Lists:
-        """Ids of each piece. What the worker knows already is looked up; only new parts reach the tokenizer."""
+        """Ids of each piece, put together from its stem and its marks."""
         split = pc.match_substring_regex(pieces, _STEM_AND_MARKS)
         stems = pc.if_else(split, pc.utf8_rtrim(pieces, MARKS), pieces)
         cut = pc.filter(pieces, split)
         marks = pc.replace_substring_regex(cut, rf"(?s)\A.*{_LETTER}", "")
         coded = pc.dictionary_encode(pa.concat_arrays([stems, marks]))
-        parts = coded.dictionary
-        places = pc.index_in(parts, value_set=self.known)
-        if len(self.known) + places.null_count > KEPT_PIECES:
-            self._forget()
-            places = pc.index_in(parts, value_set=self.known)
-        if places.null_count:
-            unknown = pc.is_null(places)
-            missing = pc.filter(parts, unknown)
-            fresh = np.cumsum(unknown.to_numpy(zero_copy_only=False)) - 1 + len(self.known)
-            places = pc.if_else(unknown, pa.array(fresh, pa.int64()), places.cast(pa.int64()))
-            self.ids = self.ids + _Lists.of(self.direct(missing.to_pylist()))
-            self.known = pa.concat_arrays([self.known, missing])
-        codes = places.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        codes = coded.indices.to_numpy().astype(np.int64) + 1
         # Two parts a piece; the second is the empty one, at place 0, where a piece was not cut.
         both = np.zeros((len(pieces), 2), np.int64)
         both[:, 0] = codes[: len(pieces)]
         both[split.to_numpy(zero_copy_only=False), 1] = codes[len(pieces) :]
-        return self.ids.gather(both.ravel(), np.arange(0, 2 * len(pieces) + 1, 2))
+        # By way of numpy, as pyarrow's own lists take ten times as long.
+        parts = self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return parts.gather(both.ravel(), np.arange(0, 2 * len(pieces) + 1, 2))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (one more entry for the end)."""
