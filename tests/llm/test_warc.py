@@ -84,3 +84,11 @@ def test_repeated_and_missing_records(spark):
     assert got == [("m1", r, x) for r in ("r1", "r2") for x in ("x1", "x2", "x3")]
     (other,) = [r for r in found if r.capture_id == "m2"]
     assert other.request is None and other.metadata is None and len(found) == 7
+
+
+def test_unasked_payloads_are_not_shuffled(spark):
+    path, _ = captured(spark, [(1, "a", "x")])
+    asked = W.captures(W.read_records(spark, path)).select("response.type", "metadata.fields")
+    lines = asked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = lines[: next(k for k, line in enumerate(lines) if "Filter" in line)]
+    assert any("Join" in line for line in above) and not any("payload#" in line for line in above)

@@ -216,8 +216,8 @@ def captures(records: DataFrame) -> DataFrame:
 
     beside = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     beside = beside.groupBy(F.col("concurrent_to").alias("capture_id")).agg(listed("request"), listed("metadata"))
-    # Parsed records look small to the planner, which only sees the manifest; they must not be broadcast.
-    joined = main.join(beside.hint("merge"), "capture_id", "left")
     for kind in ("request", "metadata"):
-        joined = joined.withColumn(kind, F.explode_outer(kind))
-    return joined
+        beside = beside.withColumn(kind, F.explode_outer(kind))
+    # Parsed records look small to the planner, which only sees the manifest; they must not be broadcast. Nothing but the
+    # join stands above the main records, so that payloads nobody asks for are not shuffled.
+    return main.join(beside.hint("merge"), "capture_id", "left")
