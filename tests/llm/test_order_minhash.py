@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm import order_minhash as O
 from tickloom.llm.components import components
@@ -212,3 +213,40 @@ def test_bound_tells_long_texts_with_many_other_words_apart():
     none = np.zeros(2, bool)
     a, b = O.possible_pairs(np.array([800, 800]), np.arange(2), bags, none.astype(int), none, 0.8)
     assert not len(a) and O.edit_distance(first, second, 160) is None
+
+
+def test_rounds_end_when_they_link_few(make_docs, monkeypatch):
+    """A round that links one pair of many is followed by the exact step, not by more rounds of leaders."""
+    rng = random.Random(12)
+    form = [f"f{k}" for k in range(60)]
+    rows = [(k, " ".join(form + [f"v{rng.randrange(10**6)}" for _ in range(40)])) for k in range(60)]
+    compared = []
+
+    def one_link(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return pairs.orderBy("a", "b").limit(1).withColumn("similarity", F.lit(0.9))
+
+    monkeypatch.setattr(O, "_verified", one_link)
+    found = O.near_duplicates(make_docs(rows), k=1, picked=1, sketches=4).collect()
+    assert compared[0] > O.WORTH and compared[1:] == [0]
+    assert sorted(r.class_size for r in found) == [1] * 58 + [2] * 2
+
+
+def test_texts_are_aligned_a_few_at_a_time():
+    texts = [f"word{k} " * 100_000 for k in range(6)]
+    columns = [pa.array(range(6)), pa.array(range(6, 12)), pa.array(texts), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "text_a", "text_b"])
+    found = list(O._linked(iter([batch]), 0.8))
+    assert len(found) > 1 and pa.Table.from_batches(found).column("a").to_pylist() == list(range(6))
+
+
+def test_labels_merged_round_by_round_are_those_of_all_links(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(120), rng.randrange(120, 240)) for _ in range(150)]
+    labels = None
+    for lo in range(0, 150, 50):
+        labels = O.merged_labels(labels, spark.createDataFrame(links[lo : lo + 50], "a LONG, b LONG")).localCheckpoint()
+    step = {r.node: r.label for r in labels.collect()}
+    whole = {r.node: r.label for r in components(spark.createDataFrame(links, "a LONG, b LONG")).collect()}
+    assert set(step) == set(whole) and labels.count() == len(step)
+    assert len({(step[i], whole[i]) for i in step}) == len(set(step.values())) == len(set(whole.values()))

@@ -11,8 +11,8 @@ with one leader of the bucket, in later rounds with ``LEADERS``, so the comparis
 sketches. Comparisons are exact:
 edit distance over words, computed within a band as wide as the distance may be. Texts whose
 distance is at most ``1 - similarity`` of the longer one are linked, and classes are the connected components
-of the links. As long as a round finds links, another one follows with other leaders, over the buckets which
-then still hold several classes.
+of the links. As long as at least one in ``WORTH`` comparisons of a round is a link, another one follows with
+other leaders, over the buckets which then still hold several classes.
 
 Leaders only make the classes few. What they leave open is settled exactly: in every bucket that still holds
 several classes, each two members of different classes are aligned unless a bound excludes them. Members are
@@ -43,14 +43,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, known_join, saved, small, whole_text
+from .common import SPACE, bounded, known_join, saved, small, whole_text
 from .components import components
 
 SIMILARITY, RECALL, MOST_SKETCHES = 0.8, 0.99, 72
 #: Words of a run and runs picked, from selective to sensitive; and the longest text of the lower range.
 CHOICES = ((5, 2), (3, 2), (2, 3), (1, 4), (1, 3), (1, 2), (1, 1))
 SHORT, FAR = 31, 400
-LEADERS = 4
+LEADERS, WORTH = 4, 20
+#: Texts that a task holds as Python objects at once take about so many bytes.
+HELD_BYTES = 2 << 20
 #: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs; a
 #: first look at pairs takes the counts folded to fewer bins.
 BLOCK, BINS, FOLDED = 1024, 512, 64
@@ -220,7 +222,7 @@ def _in_band(a: list, b: list, width: int) -> int:
 
 
 def _linked(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in (part for whole in rows for part in bounded(whole, 3, HELD_BYTES)):
         a_ids, b_ids, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
         for a, b, x, y in zip(a_ids, b_ids, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
             x, y = x.split(" "), y.split(" ")
@@ -251,7 +253,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of words of each text in each of ``BINS`` bins, up to 255, a byte each."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in bounded(whole, 1, HELD_BYTES)):
         rows = [
             np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
             for words in _word_hashes(batch.column(1))
@@ -296,11 +298,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         column = {name: flat.field(name) for name in ("node", "n", "label", "part", "guest")}
         node, n, label, part = (column[name].to_numpy() for name in ("node", "n", "label", "part"))
         guest = column["guest"].to_numpy(zero_copy_only=False)
-        bags = np.frombuffer(b"".join(flat.field("bag").to_pylist()), np.uint8).reshape(-1, BINS)
         bounds = bounds - bounds[0]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             at = slice(lo, hi)
-            i, j = possible_pairs(n[at], label[at], bags[at], part[at], guest[at], similarity)
+            # The bags of one block at a time: they are most of a batch.
+            bags = np.frombuffer(b"".join(flat.field("bag").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, BINS)
+            i, j = possible_pairs(n[at], label[at], bags, part[at], guest[at], similarity)
             if len(i):
                 a, b = node[at][i], node[at][j]
                 arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
@@ -344,6 +347,26 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     return found.distinct()
 
 
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the present label of each node, itself where it has no link yet."""
+    known = members.drop("label").join(labels.withColumnRenamed("label", "new"), "node", "left")
+    return known.withColumn("label", F.coalesce("new", "node")).drop("new")
+
+
+def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of all nodes once there are more links: only the labels that these touch are connected anew."""
+    if labels is None:
+        return components(links)
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("to_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("to_b"))
+    ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    ends = ends.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    moved = saved(components(saved(ends.where("a <> b").distinct(), "near-ends")), "near-moved")
+    then = small(moved.select(F.col("node").alias("label"), F.col("label").alias("then")))
+    kept = labels.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+    return kept.unionByName(moved.join(labels.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -373,7 +396,7 @@ def near_duplicates(
     ranges = [(lo, hi, k_, p_, rng.integers(1, 2**63, m_, dtype=np.uint64)) for lo, hi, k_, p_, m_ in ranges]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, 1, HELD_BYTES)):
             found, sizes, times = [], [], []
             for words in _word_hashes(batch.column(1)):
                 own = [order_sketches(labelled_runs(words, k), picked, seeds) for lo, hi, k, picked, seeds in ranges if lo <= len(words) <= hi]
@@ -392,13 +415,9 @@ def near_duplicates(
     shared = saved(shared, "near-buckets")
     members = saved(known_join(sketched, shared, "bucket", "members", sketched.count()), "near-members")
     n_members = members.count()
-    labels, links, turn = None, None, 0
+    labels, turn = None, 0
     while True:
-        if labels is None:
-            known = members.withColumn("label", F.col("node"))
-        else:
-            label = F.coalesce("new", "node")
-            known = members.join(labels.withColumnRenamed("label", "new"), "node", "left").withColumn("label", label).drop("new")
+        known = members.withColumn("label", F.col("node")) if labels is None else _relabelled(members, labels)
         chosen = [
             F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), "node", "n", "label"))
             for k in range(1 if turn == 0 else LEADERS)
@@ -415,15 +434,18 @@ def near_duplicates(
         pairs = saved(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
         unsettled, members = members, members.select("bucket", "node", "n", "members")
         found = saved(_verified(pairs, texts, similarity), "near-links")
-        if found.isEmpty():
+        n_found = found.count()
+        if n_found:
+            labels = saved(merged_labels(labels, found), "near-labels")
+        if n_found * WORTH < max(pairs.count(), 1):
             break
-        links = found if links is None else links.unionByName(found)
-        labels = saved(components(links), "near-labels")
         turn += 1
+    if n_found:
+        unsettled = saved(_relabelled(unsettled, labels), "near-members")
     rest = saved(_open_pairs(unsettled.select("bucket", "node", "n", "label"), texts, similarity), "near-pairs")
     found = saved(_verified(rest, texts, similarity), "near-links")
     if not found.isEmpty():
-        labels = saved(components(found if links is None else links.unionByName(found)), "near-labels")
+        labels = saved(merged_labels(labels, found), "near-labels")
     if labels is None:
         labels = spark.createDataFrame([], "node LONG, label LONG")
     labelled = nodes.drop("text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
