@@ -184,3 +184,14 @@ def test_neighbours_are_the_best_by_bm25():
         ranked = index.ranked(seed, used).tolist()
         assert sorted(ranked) == sorted(scores)
         assert np.allclose([scores[k] for k in ranked], sorted(scores.values(), reverse=True))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 70_000) | st.integers(0, 9), min_size=1, max_size=30), max_size=12))
+def test_document_counts_of_ids_of_two_and_four_bytes(texts):
+    rows = [np.array(text, "<u2" if max(text) < 1 << 16 else "<u4").tobytes() for text in texts]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(rows, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids"])
+    (found,) = bm25_packing._document_counts(iter([batch]))
+    want = {term: sum(term in text for text in texts) for text in texts for term in text}
+    assert dict(zip(*(column.to_pylist() for column in found.columns))) == want

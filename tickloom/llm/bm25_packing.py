@@ -89,9 +89,13 @@ def pack(
 def _rows_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch in a row, and the number of ids of each document."""
     counts = batch.column("n").to_numpy()
+    rows = batch.column("ids").to_pylist()
+    flat = b"".join(rows)
+    if len(flat) == 2 * counts.sum():  # all of them two bytes each
+        return np.frombuffer(flat, "<u2").astype(np.int64), counts
     parts = [
         np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
-        for raw, n in zip(batch.column("ids").to_pylist(), counts)
+        for raw, n in zip(rows, counts)
     ]
     return (np.concatenate(parts) if parts else np.empty(0, np.int64)), counts
 
@@ -109,7 +113,10 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if not len(ids):
             continue
         size = int(ids.max()) + 1
-        pairs = np.unique(_pairs(ids, counts, size))
+        # Sorted in place: np.unique hashes them, which takes several times as long.
+        pairs = _pairs(ids, counts, size)
+        pairs.sort()
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
         here = np.bincount(pairs % size, minlength=len(total))
         here[: len(total)] += total
         total = here

@@ -28,7 +28,7 @@ MARKS = string.punctuation.replace("'", "")
 _LETTER = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]"
 _STEM_AND_MARKS = rf"{_LETTER}[{re.escape(MARKS)}]+\z"
 #: A worker keeps the ids of so many pieces; beyond, those go that were not seen for long.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_200_000
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays beside the ids.
 SLICE_BYTES = 1 << 20
 #: Texts handed to the tokenizer at once: what it returns takes a kilobyte or so for each, until the ids are out of it.
