@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +216,40 @@ def test_bound_tells_long_texts_with_many_other_words_apart():
     assert not len(a) and O.edit_distance(first, second, 160) is None
 
 
+def other_words(rng, words, share):
+    return [f"v{rng.randrange(10**6)}" if rng.random() < share else word for word in words]
+
+
+def test_words_themselves_exclude_what_bins_let_pass():
+    """Copies of one text that differ from each other by a little more than the threshold are not aligned in pairs."""
+    rng = random.Random(7)
+    first = [f"w{rng.randrange(300)}" for _ in range(800)]
+    texts = [other_words(rng, first, 0.135) for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([" ".join(text) for text in texts])], ["node", "text"])
+    (bags,) = O._bags(iter([batch]))
+    one = {"node": range(12), "n": [800] * 12, "label": range(12), "part": [0] * 12, "guest": [False] * 12, "bag": bags.column("bag"), "words": bags.column("words")}
+    rows = [dict(zip(one, row)) for row in zip(*[column.to_pylist() if isinstance(column, pa.Array) else column for column in one.values()])]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("part", pa.int32()), ("guest", pa.bool_()), ("bag", pa.binary()), ("words", pa.binary())]))
+    found = list(O._blocks(iter([pa.RecordBatch.from_arrays([pa.array([rows], kind)], ["rows"])]), 0.8))
+    pairs = {pair for batch in found for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())}
+    near = {(i, j) for j in range(12) for i in range(j) if O.edit_distance(texts[i], texts[j], 160) is not None}
+    none = np.zeros(12, bool)
+    dense = np.frombuffer(b"".join(bags.column("bag").to_pylist()), np.uint8).reshape(12, -1)
+    binned = O.possible_pairs(np.full(12, 800), np.arange(12), dense, none.astype(int), none, 0.8)[0]
+    assert near <= pairs and 4 * len(pairs) < len(binned)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=12), min_size=2, max_size=8))
+def test_word_lists_are_never_further_apart_than_the_texts(texts):
+    lists = O.WordLists([np.sort(np.array(text, "<u2")).tobytes() for text in texts])
+    for i, a in enumerate(texts):
+        apart = lists.apart(i, np.arange(len(texts)))
+        for j, b in enumerate(texts):
+            most = max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total())
+            assert apart[j] == (most if a and b else 0) <= plain_distance(a, b)
+
+
 def test_rounds_end_when_they_link_few(make_docs, monkeypatch):
     """A round that links one pair of many is followed by the exact step, not by more rounds of leaders."""
     rng = random.Random(12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, so that no later job computes it again."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of whole texts that Python gets at once. Spark's 10,000 are tens of MB, held by both sides for each task.
+TEXT_ROWS = 1_000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands Python ``rows`` rows at once, or fewer if the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; when they end, a worker that waits for its next task gives back what Arrow kept for reuse."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def saved(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that no later job computes it again.
+
+    Python functions in it get ``batch_rows`` rows at once where that is given.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with batches_of(spark, batch_rows) if batch_rows else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, path: str) -> None:

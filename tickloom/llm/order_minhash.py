@@ -17,9 +17,9 @@ other leaders, over the buckets which then still hold several classes.
 Leaders only make the classes few. What they leave open is settled exactly: in every bucket that still holds
 several classes, each two members of different classes are aligned unless a bound excludes them. Members are
 compared in blocks of about ``BLOCK``, within reach of each other's length; the bound is the distance of their
-word counts in ``BINS`` bins, which is never above the edit distance. So every pair of texts that agrees in a
-sketch is in one class, aligned or excluded, however large the bucket. The rows of this step grow with the
-square of the blocks of a bucket.
+word counts, first in ``BINS`` bins and then of the words themselves, as 16-bit hashes, which is never above the
+edit distance. So every pair of texts that agrees in a sketch is in one class, aligned or excluded, however large
+the bucket. The rows of this step grow with the square of the blocks of a bucket.
 
 Runs, picks and sketches follow from the length of a text and the similarity (:func:`schemes`). ``d`` edits of a
 text of ``n`` words leave at least ``n - k + 1 - k d`` of its runs of ``k`` words; if ``s`` of ``u`` runs of two
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded, known_join, saved, small, whole_text
+from .common import SPACE, TEXT_ROWS, bounded, known_join, releasing, saved, small, whole_text
 from .components import components
 
 SIMILARITY, RECALL, MOST_SKETCHES = 0.8, 0.99, 72
@@ -56,7 +56,12 @@ HELD_BYTES = 2 << 20
 #: Members of a bucket that are compared with each other at once, and bins of the word counts that exclude pairs; a
 #: first look at pairs takes the counts folded to fewer bins.
 BLOCK, BINS, FOLDED = 1024, 512, 64
+#: Longer texts are not compared word by word before they are aligned, which bounds the memory of a block.
+LISTED_WORDS = 4096
 SKETCH = "node LONG, n LONG, bucket LONG"
+BAGS = "node LONG, bag BINARY, words BINARY"
+#: Blocks that Python gets at once.
+BLOCK_ROWS = 64
 _CELLS = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -248,24 +253,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         leaders = saved(a.join(small(pairs.select("a").distinct()), "a"), "leader-texts")
         both = saved(both, "member-texts").join(leaders, "a")
     rows = both.select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(lambda batches: _linked(batches, similarity), "a LONG, b LONG, similarity DOUBLE")
+    return rows.mapInArrow(lambda batches: releasing(_linked(batches, similarity)), "a LONG, b LONG, similarity DOUBLE")
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of words of each text in each of ``BINS`` bins, up to 255, a byte each."""
+    """The number of words of each text in each of ``BINS`` bins, up to 255, a byte each, and its words in two bytes each."""
     for batch in (part for whole in batches for part in bounded(whole, 1, HELD_BYTES)):
-        rows = [
-            np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-            for words in _word_hashes(batch.column(1))
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "bag"])
-
-
-def possible_pairs(n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.ndarray, guest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        bags, lists = [], []
+        for words in _word_hashes(batch.column(1)):
+            bags.append(np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            lists.append(np.sort(words.astype("<u2")).tobytes() if len(words) <= LISTED_WORDS else b"")
+        arrays = [batch.column(0), pa.array(bags, pa.binary()), pa.array(lists, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "bag", "words"])
+
+
+class WordLists:
+    """The words of the texts of a block, as :func:`_bags` lists them; an empty list stands for an unknown one."""
+
+    def __init__(self, lists: list[bytes]) -> None:
+        self.words = np.frombuffer(b"".join(lists), "<u2")
+        self.n = np.array([len(raw) // 2 for raw in lists], np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        # How many equal words of the text stand before each word: they are sorted.
+        new = np.ones(len(self.words), bool)
+        new[1:] = self.words[1:] != self.words[:-1]
+        new[self.begin[self.n > 0]] = True
+        place = np.arange(len(self.words))
+        self.before = place - np.maximum.accumulate(np.where(new, place, 0))
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """At most the edit distance of text ``i`` and each other one: the words of the longer without those that both have."""
+        own, each = self.n[i], self.n[others]
+        times = np.bincount(self.words[self.begin[i] : self.begin[i] + own], minlength=1 << 16)
+        at = np.arange(each.sum()) + np.repeat(self.begin[others] - (np.cumsum(each) - each), each)
+        shared = times[self.words[at]] > self.before[at]
+        both = np.bincount(np.repeat(np.arange(len(others)), each), shared, len(others))
+        return np.where((own > 0) & (each > 0), np.maximum(own, each) - both, 0)
+
+
+def possible_pairs(
+    n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.ndarray, guest: np.ndarray, similarity: float, words: WordLists | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a block that no bound excludes.
 
     Of each pair one member at least is no guest, and if the block has two parts the members are of different ones.
-    An edit changes each of the two counts of words that only one side has by one at most, and so do bins and
+    An edit changes each of the two counts of words that only one side has by one at most, and so do bins, hashes and
     the limit of 255 to no more than that.
     """
     lefts, rights = [], []
@@ -284,6 +316,8 @@ def possible_pairs(n: np.ndarray, label: np.ndarray, bags: np.ndarray, part: np.
         for counts in (folded, bags):
             apart = np.abs(counts[at] - counts[i]).sum(axis=1, dtype=np.int64) + np.abs(totals[at] - totals[i])
             at = at[apart <= 2 * most[at]]
+        if words is not None and len(at):
+            at = at[words.apart(i, at) <= most[at]]
         lefts.append(np.full(len(at), i))
         rights.append(at)
     if not lefts:
@@ -301,9 +335,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         bounds = bounds - bounds[0]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             at = slice(lo, hi)
-            # The bags of one block at a time: they are most of a batch.
+            # The bags and words of one block at a time: they are most of a batch.
             bags = np.frombuffer(b"".join(flat.field("bag").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, BINS)
-            i, j = possible_pairs(n[at], label[at], bags, part[at], guest[at], similarity)
+            words = WordLists(flat.field("words").slice(lo, hi - lo).to_pylist())
+            i, j = possible_pairs(n[at], label[at], bags, part[at], guest[at], similarity, words)
             if len(i):
                 a, b = node[at][i], node[at][j]
                 arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
@@ -323,7 +358,7 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     once = saved(same.groupBy("x", "y", "n_here").agg(F.min("bucket").alias("bucket")).select("bucket", "n_here"), "near-open-buckets")
     rows = known_join(members, once, "bucket", "n_here", members.count())
     nodes = saved(rows.select("node").distinct(), "near-open-nodes")
-    bags = saved(texts.join(small(nodes), "node", "left_semi").mapInArrow(_bags, "node LONG, bag BINARY"), "near-bags")
+    bags = saved(texts.join(small(nodes), "node", "left_semi").mapInArrow(lambda batches: releasing(_bags(batches)), BAGS), "near-bags", TEXT_ROWS)
     # Of two lengths the longer is at most 1 / similarity times the shorter, so their bands are at most one apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity) + 1e-9))
     bands = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
@@ -339,11 +374,11 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.join(bags, "node")
-    one = F.struct("node", "n", "label", "part", "guest", "bag")
+    one = F.struct("node", "n", "label", "part", "guest", "bag", "words")
     key = [F.col("bucket"), F.col("band"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
     blocks = rows.groupBy(*key).agg(F.collect_list(one).alias("rows")).select("rows")
     # The block of one part alone holds its members once; the block of two parts holds both.
-    found = blocks.mapInArrow(lambda batches: _blocks(batches, similarity), "a LONG, b LONG")
+    found = blocks.mapInArrow(lambda batches: releasing(_blocks(batches, similarity)), "a LONG, b LONG")
     return found.distinct()
 
 
@@ -410,7 +445,7 @@ def near_duplicates(
                 [pa.array(ids[each]), pa.array(np.array(sizes, np.int64)[each]), pa.array(buckets)], ["node", "n", "bucket"]
             )
 
-    sketched = saved(texts.mapInArrow(sketch, SKETCH), "near-sketches")
+    sketched = saved(texts.mapInArrow(lambda batches: releasing(sketch(batches)), SKETCH), "near-sketches", TEXT_ROWS)
     shared = sketched.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = saved(shared, "near-buckets")
     members = saved(known_join(sketched, shared, "bucket", "members", sketched.count()), "near-members")
@@ -433,7 +468,7 @@ def near_duplicates(
         pairs = pairs.where((F.col("label") != F.col("first.label")) & close)
         pairs = saved(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
         unsettled, members = members, members.select("bucket", "node", "n", "members")
-        found = saved(_verified(pairs, texts, similarity), "near-links")
+        found = saved(_verified(pairs, texts, similarity), "near-links", TEXT_ROWS)
         n_found = found.count()
         if n_found:
             labels = saved(merged_labels(labels, found), "near-labels")
@@ -442,8 +477,8 @@ def near_duplicates(
         turn += 1
     if n_found:
         unsettled = saved(_relabelled(unsettled, labels), "near-members")
-    rest = saved(_open_pairs(unsettled.select("bucket", "node", "n", "label"), texts, similarity), "near-pairs")
-    found = saved(_verified(rest, texts, similarity), "near-links")
+    rest = saved(_open_pairs(unsettled.select("bucket", "node", "n", "label"), texts, similarity), "near-pairs", BLOCK_ROWS)
+    found = saved(_verified(rest, texts, similarity), "near-links", TEXT_ROWS)
     if not found.isEmpty():
         labels = saved(merged_labels(labels, found), "near-labels")
     if labels is None:
