@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tickloom.llm import bitplanes, bm25_packing, token_ids
-from tickloom.llm.common import file_system
+from tickloom.llm.common import TEXT_ROWS, file_system
 from tickloom.llm.token_ids import encoder
 from tickloom.session import scratch_path
 
@@ -195,3 +195,22 @@ def test_document_counts_of_ids_of_two_and_four_bytes(texts):
     (found,) = bm25_packing._document_counts(iter([batch]))
     want = {term: sum(term in text for text in texts) for text in texts for term in text}
     assert dict(zip(*(column.to_pylist() for column in found.columns))) == want
+
+
+def test_packing_gets_whole_texts_a_few_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 whole texts would stand in the JVM and in Python, for every task."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def batch_sizes(docs, *others):
+        def sizes(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([b"\0\0" * n], pa.binary())], ["doc_id", "n", "ids"])
+
+        return docs.mapInArrow(sizes, bm25_packing.ENCODED)
+
+    monkeypatch.setattr(bm25_packing, "encoded", batch_sizes)
+    found = bm25_packing.pack(spark.range(2 * TEXT_ROWS + 500).repartition(1), "").collect()
+    assert sum(row.length for row in found) == 2 * TEXT_ROWS + 500
+    assert max(row.doc_tokens for row in found) <= TEXT_ROWS and spark.conf.get(setting) == before

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, saved, whole_text
+from .common import TEXT_ROWS, bounded, releasing, saved, whole_text
 from .token_ids import encoder, with_end
 
 #: Usual BM25 constants.
@@ -46,7 +46,7 @@ def encoded(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(rows, pa.binary())], ["doc_id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(encode, ENCODED)
+    return rows.mapInArrow(lambda batches: releasing(encode(batches)), ENCODED)
 
 
 def pack(
@@ -68,9 +68,9 @@ def pack(
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
-    table = saved(encoded(docs, tokenizer, spaces, end_id, id_col, text_col), "packing-ids")
+    table = saved(encoded(docs, tokenizer, spaces, end_id, id_col, text_col), "packing-ids", TEXT_ROWS)
     n_docs, n_ids = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = table.mapInArrow(_document_counts, "term LONG, docs LONG").groupBy("term").agg(F.sum("docs").alias("docs"))
+    found = table.mapInArrow(lambda batches: releasing(_document_counts(batches)), "term LONG, docs LONG").groupBy("term").agg(F.sum("docs").alias("docs"))
     rows = found.collect()  # a row for each entry of the vocabulary at most
     frequency = np.zeros(max([row.term for row in rows], default=0) + 1)
     for row in rows:
