@@ -239,6 +239,18 @@ def test_words_themselves_exclude_what_bins_let_pass():
     assert near <= pairs and 4 * len(pairs) < len(binned)
 
 
+def test_a_pair_of_many_buckets_is_made_once(spark, monkeypatch):
+    """However many buckets two texts share, the blocks give their pair once."""
+    rng = random.Random(8)
+    first = [f"w{k}" for k in range(50)]
+    texts = spark.createDataFrame([(k, " ".join(other_words(rng, first, 0.05))) for k in range(20)], "node LONG, text STRING")
+    # Bucket b has all but one text, so that no two buckets have the same members.
+    members = spark.createDataFrame([(b, k, 50, k) for b in range(-9, 9) for k in range(20) if k != b + 9], "bucket LONG, node LONG, n LONG, label LONG")
+    monkeypatch.setattr(type(texts), "distinct", lambda rows: rows)
+    made = [(r.a, r.b) for r in O._open_pairs(members, texts, 0.8).collect()]
+    assert sorted(made) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), max_size=12), min_size=2, max_size=8))
 def test_word_lists_are_never_further_apart_than_the_texts(texts):

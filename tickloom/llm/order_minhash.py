@@ -325,7 +325,19 @@ def possible_pairs(
     return np.concatenate(lefts), np.concatenate(rights)
 
 
+def meet_first(i: np.ndarray, j: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether the pairs share none of the buckets ``before``, those of member ``k`` being ``before[begin[k]:begin[k + 1]]``."""
+    names, codes = np.unique(before, return_inverse=True)
+    held = np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * len(names) + codes
+    each = np.diff(begin)[j]
+    at = np.arange(each.sum()) + np.repeat(begin[j] - (np.cumsum(each) - each), each)
+    pair = np.repeat(np.arange(len(i)), each)
+    shared = np.isin(i[pair] * len(names) + codes[at], held)
+    return np.bincount(pair, shared, len(i)) == 0
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of each block; a pair comes from the smallest bucket alone in which both are, if these are given."""
     for batch in batches:
         bounds = batch.column("rows").offsets.to_numpy()
         flat = batch.column("rows").flatten()
@@ -333,12 +345,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         node, n, label, part = (column[name].to_numpy() for name in ("node", "n", "label", "part"))
         guest = column["guest"].to_numpy(zero_copy_only=False)
         bounds = bounds - bounds[0]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
+        for block, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
             at = slice(lo, hi)
             # The bags and words of one block at a time: they are most of a batch.
             bags = np.frombuffer(b"".join(flat.field("bag").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, BINS)
             words = WordLists(flat.field("words").slice(lo, hi - lo).to_pylist())
             i, j = possible_pairs(n[at], label[at], bags, part[at], guest[at], similarity, words)
+            if len(i) and "bucket" in batch.schema.names:
+                own = flat.field("buckets").slice(lo, hi - lo)
+                begin = own.offsets.to_numpy().astype(np.int64)
+                buckets = own.flatten().to_numpy()
+                smaller = buckets < batch.column("bucket")[block].as_py()
+                begin = np.concatenate(([0], np.cumsum(smaller)))[begin - begin[0]]
+                first = meet_first(i, j, buckets[smaller], begin)
+                i, j = i[first], j[first]
             if len(i):
                 a, b = node[at][i], node[at][j]
                 arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
@@ -350,15 +370,16 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     ``members`` has ``bucket, node, n, label``. Buckets with the same members count once. Members are dealt to
     bands of length, a band as wide as lengths may differ, and each is a guest in the next band; a band with
-    more than ``BLOCK`` rows is divided into parts, and each two parts meet in a block.
+    more than ``BLOCK`` rows is divided into parts, and each two parts meet in a block. A pair that shares several
+    buckets is made in one of them.
     """
     same = members.groupBy("bucket").agg(
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n_here")
     )
     once = saved(same.groupBy("x", "y", "n_here").agg(F.min("bucket").alias("bucket")).select("bucket", "n_here"), "near-open-buckets")
     rows = known_join(members, once, "bucket", "n_here", members.count())
-    nodes = saved(rows.select("node").distinct(), "near-open-nodes")
-    bags = saved(texts.join(small(nodes), "node", "left_semi").mapInArrow(lambda batches: releasing(_bags(batches)), BAGS), "near-bags", TEXT_ROWS)
+    nodes = saved(rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "near-open-nodes")
+    bags = saved(texts.join(small(nodes.select("node")), "node", "left_semi").mapInArrow(lambda batches: releasing(_bags(batches)), BAGS), "near-bags", TEXT_ROWS)
     # Of two lengths the longer is at most 1 / similarity times the shorter, so their bands are at most one apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity) + 1e-9))
     bands = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
@@ -373,10 +394,10 @@ def _open_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     parts = F.when(F.col("n_rows") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n_rows") / half)).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.join(bags, "node")
-    one = F.struct("node", "n", "label", "part", "guest", "bag", "words")
+    rows = rows.join(bags.join(nodes, "node"), "node")
+    one = F.struct("node", "n", "label", "part", "guest", "bag", "words", "buckets")
     key = [F.col("bucket"), F.col("band"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
-    blocks = rows.groupBy(*key).agg(F.collect_list(one).alias("rows")).select("rows")
+    blocks = rows.groupBy(*key).agg(F.collect_list(one).alias("rows")).select("bucket", "rows")
     # The block of one part alone holds its members once; the block of two parts holds both.
     found = blocks.mapInArrow(lambda batches: releasing(_blocks(batches, similarity)), "a LONG, b LONG")
     return found.distinct()
